@@ -68,8 +68,9 @@ def text_chunks(batch: pa.RecordBatch, column: str = "text", limit: int = CHUNK_
 
 
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The UTF-8 bytes of a string column, one after another, and the n + 1 offsets; null is empty."""
-    column = pc.fill_null(column.cast(pa.large_string()), "")
+    """The bytes of a string or binary column, one after another, and the n + 1 offsets; null is empty."""
+    binary = pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type)
+    column = pc.fill_null(column.cast(pa.large_binary()), b"") if binary else pc.fill_null(column.cast(pa.large_string()), "")
     offsets = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset : column.offset + len(column) + 1]
     data = np.frombuffer(column.buffers()[2] or b"", dtype=np.uint8)[offsets[0] : offsets[-1]]
     return data, offsets - offsets[0]
