@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from linkmill.llm.runtime import text_buffer, text_chunks
+from linkmill.llm.runtime import blobs, text_buffer, text_chunks
 from linkmill.llm.wordcodes import WordCodes, library_encoder
 
 
@@ -131,11 +131,6 @@ def coder(path: str) -> ByteBpe:
     return ByteBpe(path)
 
 
-def blobs(data: np.ndarray, bounds: np.ndarray) -> pa.Array:
-    """A binary column from bytes in a row and their bounds."""
-    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(np.ascontiguousarray(bounds, dtype=np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
-
-
 def encoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     bpe = coder(path)
     for batch in batches:

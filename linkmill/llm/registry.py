@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkmill.llm import byte_bpe, packing, suffix_dedup
+from linkmill.llm import byte_bpe, jaccard_join, packing, suffix_dedup
 from linkmill.llm.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +23,10 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digests(suffix_dedup.remove_copies(docs))
 
 
+def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     both = byte_bpe.decode_ids(byte_bpe.encode_texts(table(spark, sf_dir, "documents"), ranks), ranks)
@@ -30,7 +34,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op2_packing": op2_packing, "op3_suffix_dedup": op3_suffix_dedup, "op10_byte_bpe": op10_byte_bpe}
+    return {"op2_packing": op2_packing, "op3_suffix_dedup": op3_suffix_dedup, "op9_ngram_jaccard": op9_ngram_jaccard, "op10_byte_bpe": op10_byte_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
