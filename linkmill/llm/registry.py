@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkmill.llm import byte_bpe, jaccard_join, packing, suffix_dedup
+from linkmill.llm import byte_bpe, cross_polytope, jaccard_join, packing, quality_rules, suffix_dedup
 from linkmill.llm.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,18 +23,26 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digests(suffix_dedup.remove_copies(docs))
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.digests(quality_rules.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
+
+
+def op6_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cross_polytope.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
 
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    both = byte_bpe.decode_ids(byte_bpe.encode_texts(table(spark, sf_dir, "documents"), ranks), ranks)
-    return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    rows = byte_bpe.decode_ids(byte_bpe.encode_texts(table(spark, sf_dir, "documents"), ranks), ranks)
+    return rows.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def queries() -> dict[str, Query]:
-    return {"op2_packing": op2_packing, "op3_suffix_dedup": op3_suffix_dedup, "op9_ngram_jaccard": op9_ngram_jaccard, "op10_byte_bpe": op10_byte_bpe}
+    return {"op2_packing": op2_packing, "op3_suffix_dedup": op3_suffix_dedup, "op5_quality_rules": op5_quality_rules, "op6_cross_polytope": op6_cross_polytope, "op9_ngram_jaccard": op9_ngram_jaccard, "op10_byte_bpe": op10_byte_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
