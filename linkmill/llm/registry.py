@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkmill.llm import byte_bpe, cross_polytope, jaccard_join, packing, quality_rules, suffix_dedup
+from linkmill.llm import byte_bpe, cross_polytope, jaccard_join, packing, preferences, quality_rules, suffix_dedup, token_counts
 from linkmill.llm.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +23,11 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digests(suffix_dedup.remove_copies(docs))
 
 
+def op4_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sides = preferences.shortened_answers(table(spark, sf_dir, "conversations"))
+    return preferences.digests(preferences.preference_pairs(*sides))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.digests(quality_rules.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
 
@@ -31,6 +36,10 @@ def op6_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cross_polytope.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
 
@@ -42,8 +51,9 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op2_packing": op2_packing, "op3_suffix_dedup": op3_suffix_dedup, "op5_quality_rules": op5_quality_rules, "op6_cross_polytope": op6_cross_polytope, "op9_ngram_jaccard": op9_ngram_jaccard, "op10_byte_bpe": op10_byte_bpe}
+    found = [op2_packing, op3_suffix_dedup, op4_preferences, op5_quality_rules, op6_cross_polytope, op7_token_counts, op9_ngram_jaccard, op10_byte_bpe]
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_preferences": preferences.SQL}
