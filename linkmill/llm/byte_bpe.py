@@ -150,6 +150,15 @@ def decoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordB
             yield pa.RecordBatch.from_arrays([*(part[k] for k in range(part.num_columns)), blobs(data, ends)], names=[*part.schema.names, "decoded"])
 
 
+def both(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+    bpe = coder(path)
+    for batch in encoded(batches, path):
+        size = np.asarray(batch["n_tokens"])
+        raw = np.frombuffer(batch["ids"].buffers()[2] or b"", dtype="<u4")[: int(size.sum())]
+        data, ends = bpe.decode(raw, np.append(0, np.cumsum(size)))
+        yield pa.RecordBatch.from_arrays([*batch.columns, blobs(data, ends)], names=[*batch.schema.names, "decoded"])
+
+
 def spans(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     bpe = coder(path)
     for batch in batches:
@@ -177,6 +186,12 @@ def decode_ids(rows: DataFrame, ranks_path: str) -> DataFrame:
     return held.mapInArrow(lambda batches: decoded(batches, ranks_path), schema)
 
 
+def round_trip(docs: DataFrame, ranks_path: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """encode_texts() and decode_ids() in one pass and one worker: doc_id, n_tokens, ids, decoded."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return rows.mapInArrow(lambda batches: both(batches, ranks_path), "doc_id long, n_tokens long, ids binary, decoded binary")
+
+
 def token_offsets(rows: DataFrame, ranks_path: str) -> DataFrame:
     """doc_id, token_ids, and for each token its end in bytes and the characters it covers."""
     return rows.select("doc_id", "ids").mapInArrow(lambda batches: spans(batches, ranks_path), "doc_id long, token_ids array<long>, byte_ends array<long>, char_starts array<long>, char_ends array<long>")

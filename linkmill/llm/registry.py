@@ -46,7 +46,7 @@ def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    rows = byte_bpe.decode_ids(byte_bpe.encode_texts(table(spark, sf_dir, "documents"), ranks), ranks)
+    rows = byte_bpe.round_trip(table(spark, sf_dir, "documents"), ranks)
     return rows.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

@@ -13,7 +13,7 @@ import numpy as np
 from linkmill.llm.pretoken import prefix_sums, span_hashes, token_starts
 
 #: Distinct words that a process remembers; beyond that it forgets all and starts again.
-WORDS = 1_500_000
+WORDS = 600_000
 #: Words that are handed to the library in one call.
 CALL = 4096
 
