@@ -8,12 +8,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkmill.llm import byte_bpe, cross_polytope, jaccard_join, packing, preferences, quality_rules, suffix_dedup, token_counts
+from linkmill.llm import byte_bpe, cotraining, cross_polytope, jaccard_join, packing, preferences, quality_rules, suffix_dedup, token_counts, toxicity
 from linkmill.llm.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cotraining.digests(cotraining.classified(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digests(packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")))
 
@@ -40,6 +44,10 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op8_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
 
@@ -51,7 +59,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = [op2_packing, op3_suffix_dedup, op4_preferences, op5_quality_rules, op6_cross_polytope, op7_token_counts, op9_ngram_jaccard, op10_byte_bpe]
+    found = [op1_cotraining, op2_packing, op3_suffix_dedup, op4_preferences, op5_quality_rules, op6_cross_polytope, op7_token_counts, op8_toxicity_chain, op9_ngram_jaccard, op10_byte_bpe]
     return {f.__name__: f for f in found}
 
 
