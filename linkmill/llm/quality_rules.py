@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 WHITE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS, WINDOW, REPEAT_PERCENT = 10, 5, 20
-BUCKETS, SMOOTHING, TRUSTED, THRESHOLD = 1 << 18, 0.5, 20_000, -0.20
+BUCKETS, SMOOTHING, TRUSTED, THRESHOLD = 1 << 18, 4.0, 20_000, -0.20
 
 
 def held(df: DataFrame, name: str, value: Column) -> DataFrame:
@@ -74,11 +74,12 @@ def ratio_model(texts: DataFrame, labels: DataFrame, buckets: int, smoothing: fl
     spark = texts.sparkSession
     counts = spark.range(buckets).select(F.col("id").cast("int").alias("bucket")).join(counts, "bucket", "left").na.fill(0)
     listed = counts.agg(F.array_sort(F.collect_list(F.struct("bucket", "raw", "target"))).alias("c"), F.sum("raw").alias("raw"), F.sum("target").alias("target"))
-    extra = smoothing * buckets
 
     def ratio(x: Column) -> Column:
-        target, raw = (x["target"] + smoothing) / (F.col("target") + extra), (x["raw"] + smoothing) / (F.col("raw") + extra)
-        return F.when((F.col("target") > 0) & (F.col("raw") > 0), F.log(target / raw)).otherwise(F.lit(0.0))
+        # Both multinomials are smoothed by the same share of their totals: where the raw corpus promises
+        # the target few n-grams of a bucket, finding none says little.
+        promised = x["raw"] * F.col("target") / F.col("raw")
+        return F.when((F.col("target") > 0) & (F.col("raw") > 0), F.log((x["target"] + smoothing) / (promised + smoothing))).otherwise(F.lit(0.0))
 
     return listed.select(F.transform("c", ratio).alias("model"))
 

@@ -50,7 +50,7 @@ def test_ratio_equals_brute_force(spark):
         for b in found:
             raw[b] += 1
             target[b] += d in good
-    ratio = [math.log((t + 0.5) / (sum(target) + 16)) - math.log((r + 0.5) / (sum(raw) + 16)) for t, r in zip(target, raw, strict=True)]
+    ratio = [math.log((t + Q.SMOOTHING) / (r * sum(target) / sum(raw) + Q.SMOOTHING)) for t, r in zip(target, raw, strict=True)]
     for r in rows:
         found = hashed[r.row.doc_id]
         want = sum(ratio[b] for b in found) / len(found) if found else 0.0
