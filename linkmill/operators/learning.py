@@ -1,0 +1,221 @@
+"""Learning steps around pair scores (L01-L28). Models are pyspark.ml's; an encoder is any PairScorer."""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from linkmill.operators.assignment import clipped, odds
+
+KEY = ["s1_id", "cand_id"]
+#: A scorer takes an iterator of frames with a_txt and b_txt and yields one score per row.
+PairScorer = Callable[[pd.DataFrame], np.ndarray]
+
+
+def label_join(pairs: DataFrame, truth: DataFrame) -> DataFrame:
+    """L01."""
+    return pairs.join(truth.select(*KEY, F.lit(1).alias("y")).distinct(), KEY, "left").withColumn("y", F.coalesce("y", F.lit(0)))
+
+
+def fold_of(id_: Column, k: int, seed: int = 7) -> Column:
+    """A fold from the first 8 hex digits of an md5, the same in any engine."""
+    return F.pmod(F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), id_.cast("string"))), 1, 8), 16, 10).cast("bigint"), F.lit(k)).cast("int")
+
+
+def hash_sample(df: DataFrame, id_: str, share: float, seed: int = 10) -> DataFrame:
+    """entities whose fold of 10000 lies below the share."""
+    return df.where(fold_of(F.col(id_), 10_000, seed) < int(share * 10_000))
+
+
+def assembled(df: DataFrame, features: list[str]) -> DataFrame:
+    """Nulls become 0 beside an indicator column."""
+    from pyspark.ml.feature import VectorAssembler
+
+    df = df.withColumns({f"_{c}_null": F.col(c).isNull().cast("double") for c in features})
+    df = df.withColumns({f"_{c}": F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in features})
+    inputs = [x for c in features for x in (f"_{c}", f"_{c}_null")]
+    return VectorAssembler(inputCols=inputs, outputCol="features").transform(df).drop(*inputs)
+
+
+def classifier(kind: str, **options):
+    """Gbt, rf or lr."""
+    from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+
+    return {"gbt": GBTClassifier, "rf": RandomForestClassifier, "lr": LogisticRegression}[kind](labelCol="y", featuresCol="features", **options)
+
+
+def probability(model, df: DataFrame, out: str = "p") -> DataFrame:
+    from pyspark.ml.functions import vector_to_array
+
+    scored = model.transform(df)
+    return scored.withColumn(out, F.get(vector_to_array("probability"), F.lit(1))).drop("rawPrediction", "probability", "prediction")
+
+
+def oof(df: DataFrame, features: list[str], kind: str = "gbt", folds: int = 3, **options) -> tuple[DataFrame, list]:
+    """Models by fold of the entity, and each pair's prediction by the model that has not seen it."""
+    x = assembled(df, features).withColumn("_fold", fold_of(F.col("s1_id"), folds))
+    models, out = [], None
+    for k in range(folds):
+        model = classifier(kind, **options).fit(x.where(F.col("_fold") != k))
+        models.append(model)
+        part = probability(model, x.where(F.col("_fold") == k))
+        out = part if out is None else out.unionByName(part)
+    return out.drop("features", "_fold"), models
+
+
+def fold_average(df: DataFrame, features: list[str], models: list) -> DataFrame:
+    """L09."""
+    x = assembled(df, features)
+    for k, model in enumerate(models):
+        x = probability(model, x, f"_p{k}")
+    return x.withColumn("p", sum((F.col(f"_p{k}") for k in range(len(models))), F.lit(0.0)) / len(models)).drop("features", *(f"_p{k}" for k in range(len(models))))
+
+
+def log_loss(p: Column, y: Column) -> Column:
+    q = clipped(p, 1e-7)
+    return -F.avg(y * F.ln(q) + (1 - y) * F.ln(1 - q))
+
+
+def blend_weights(df: DataFrame, models: list[str], steps: int = 10) -> DataFrame:
+    """Weights on the simplex with the smallest log loss, in one pass over the pairs. df: y and a column per model."""
+    grid: list[tuple[int, ...]] = [()]
+    for _ in models[:-1]:
+        grid = [(*g, k) for g in grid for k in range(steps + 1 - sum(g))]
+    grid = [(*g, steps - sum(g)) for g in grid]
+    losses = [log_loss(sum((F.lit(w / steps) * F.col(m) for w, m in zip(g, models, strict=True)), F.lit(0.0)), F.col("y")) for g in grid]
+    rows = F.array(*(F.struct(F.round(loss, 9).alias("loss"), F.array(*(F.lit(w / steps) for w in g)).alias("weights")) for g, loss in zip(grid, losses, strict=True)))
+    return df.agg(F.array_min(rows).alias("b")).select("b.loss", *(F.get("b.weights", F.lit(k)).alias(f"w_{m}") for k, m in enumerate(models)))
+
+
+def predict_blend(df: DataFrame, weights: dict[str, float]) -> DataFrame:
+    """L10."""
+    return df.withColumn("p", sum((F.lit(w) * F.col(m) for m, w in weights.items()), F.lit(0.0)))
+
+
+def pseudo_labels(df: DataFrame, high: float = 0.97, low: float = 0.03) -> DataFrame:
+    """L12."""
+    return df.where((F.col("p") >= high) | (F.col("p") <= low)).withColumn("y", (F.col("p") >= high).cast("int"))
+
+
+def shift_weights(df: DataFrame, low: float = 0.05, high: float = 20.0) -> DataFrame:
+    """s1_id and p, the probability of the other population, to weights of mean 1."""
+    w = clipped(F.col("p"), 1e-4) / (1 - clipped(F.col("p"), 1e-4))
+    mean = df.agg(F.avg(w).alias("m")).scalar()
+    x = df.withColumn("w", F.least(F.greatest(w / mean, F.lit(low)), F.lit(high)))
+    return x.withColumn("w", F.col("w") / x.agg(F.avg("w").alias("m")).scalar())
+
+
+def effective_size(weights: DataFrame) -> DataFrame:
+    """The share of rows that the weights are worth."""
+    return weights.agg((F.sum("w") * F.sum("w") / F.sum(F.col("w") * F.col("w")) / F.count(F.lit(1))).alias("ess"))
+
+
+def auc_rank(df: DataFrame) -> DataFrame:
+    """Area under the curve from counts by score: no global sort of rows, ties count half. df: p, y."""
+    c = df.groupBy("p").agg(F.sum("y").alias("n1"), F.sum(1 - F.col("y")).alias("n0"))
+    below = F.sum("n0").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1))
+    c = c.withColumn("below", F.coalesce(below, F.lit(0)))
+    return c.agg((F.sum(F.col("n1") * (F.col("below") + F.col("n0") / 2)) / (F.sum("n1") * F.sum("n0"))).alias("auc"))
+
+
+def em_prior(df: DataFrame, by: list[str], train: DataFrame, rounds: int = 20) -> DataFrame:
+    """Label-shift EM of all groups at once; each round is one aggregation of the cached scores.
+
+    df: by..., p. train: by..., pi, the prior that p was trained with. Returns by..., pi, prior.
+    """
+    now = train.select(*by, "pi", F.col("pi").alias("prior"))
+    scores = df.select(*by, clipped(F.col("p"), 1e-7).alias("p")).groupBy(*by, "p").agg(F.count(F.lit(1)).alias("n")).persist()
+    for _ in range(rounds):
+        x = scores.join(F.broadcast(now), by)
+        a, b = F.col("prior") / F.col("pi"), (1 - F.col("prior")) / (1 - F.col("pi"))
+        q = a * F.col("p") / (a * F.col("p") + b * (1 - F.col("p")))
+        rows = x.groupBy(*by).agg(F.first("pi").alias("pi"), (F.sum(q * F.col("n")) / F.sum("n")).alias("prior"))
+        now = df.sparkSession.createDataFrame(rows.collect(), rows.schema)  # one row per group
+    scores.unpersist()
+    return now
+
+
+def posterior(p: Column, pi: Column, prior: Column) -> Column:
+    """Probabilities moved from one prior to another."""
+    q = clipped(p, 1e-7)
+    a, b = prior / pi, (1 - prior) / (1 - pi)
+    return a * q / (a * q + b * (1 - q))
+
+
+def cell_shift(df: DataFrame, counts: DataFrame) -> DataFrame:
+    """Odds times the ratio of a cell's counts. counts: cell, ratio."""
+    o = odds(F.col("p")) * F.coalesce("ratio", F.lit(1.0))
+    return df.join(counts, "cell", "left").withColumn("p", o / (1 + o)).drop("ratio")
+
+
+def ce_route(df: DataFrame, low: float = 0.005, high: float = 0.995) -> DataFrame:
+    """L17."""
+    return df.where((F.col("p") > low) & (F.col("p") < high))
+
+
+def ce_route_risky(df: DataFrame, groups: DataFrame, risky: list[str], high: float = 0.995) -> DataFrame:
+    """L26."""
+    return df.where(F.col("p") >= high).join(groups.where(F.col("grp").isin(risky)).select(*KEY), KEY, "left_semi")
+
+
+def ce_mining(df: DataFrame, held_out: DataFrame, easy: int, low: float = 0.005, high: float = 0.995) -> DataFrame:
+    """Uncertain pairs, confident errors, and ``easy`` pairs of each label by hash; without held-out entities. df: s1_id, cand_id, p, y."""
+    x = df.join(held_out.select("s1_id"), "s1_id", "left_anti")
+    unsure = (F.col("p") > low) & (F.col("p") < high)
+    wrong = ((F.col("p") >= high) & (F.col("y") == 0)) | ((F.col("p") <= low) & (F.col("y") == 1))
+    rest = x.where(~unsure & ~wrong)
+    order = Window.partitionBy("y").orderBy(F.md5(F.concat_ws(":", *(F.col(c).cast("string") for c in KEY))), *KEY)
+    some = rest.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= easy).drop("_r")
+    return x.where(unsure | wrong).unionByName(some)
+
+
+def pair_text(pairs: DataFrame, records: DataFrame, most: int = 400) -> DataFrame:
+    """Name ; address of both sides, cut to what an encoder takes."""
+    text = records.select("entity_id", F.substring(F.concat_ws(" ; ", "business_name", "business_address"), 1, most).alias("txt"))
+    x = pairs.join(text.select(F.col("entity_id").alias("s1_id"), F.col("txt").alias("a_txt")), "s1_id", "left")
+    return x.join(text.select(F.col("entity_id").alias("cand_id"), F.col("txt").alias("b_txt")), "cand_id", "left")
+
+
+def pair_scorer(pairs: DataFrame, scorer: PairScorer) -> DataFrame:
+    """Any scorer over text pairs, batch by batch; adds ce."""
+
+    def scored(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield frame.assign(ce=np.asarray(scorer(frame), dtype=float))
+
+    return pairs.mapInPandas(scored, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pairs.schema) + ", ce double")
+
+
+def token_scorer(frame: pd.DataFrame) -> np.ndarray:
+    """A stand-in without a model: log odds from the overlap of tokens."""
+    out = []
+    for a, b in zip(frame["a_txt"].fillna(""), frame["b_txt"].fillna(""), strict=True):
+        x, y = set(a.lower().split()), set(b.lower().split())
+        out.append(8 * (len(x & y) / max(len(x | y), 1)) - 4)
+    return np.array(out)
+
+
+def ce_stack(routed: DataFrame, every: DataFrame, features: list[str], kind: str = "lr", **options) -> DataFrame:
+    """A model over routed pairs, cross-fitted in two folds; the others keep their p."""
+    fitted, _ = oof(routed, features, kind, 2, **options)
+    return every.join(fitted.select(*KEY, F.col("p").alias("_q")), KEY, "left").withColumn("p", F.coalesce("_q", "p")).drop("_q")
+
+
+def calibrate(df: DataFrame, a: float, b: float) -> DataFrame:
+    """L27."""
+    o = F.exp(a * F.ln(odds(F.col("p"))) + b)
+    return df.withColumn("p", o / (1 + o))
+
+
+def synthetic_siblings(records: DataFrame, words: list[str], least: int = 2, most: int = 40) -> DataFrame:
+    """A sibling of each record: a word appended, the first number shifted; both drawn by hash of the id."""
+    h = F.conv(F.substring(F.md5("entity_id"), 1, 8), 16, 10).cast("bigint")
+    word = F.element_at(F.array(*map(F.lit, words)), (F.pmod(h, F.lit(len(words))) + 1).cast("int"))
+    shift = least + F.pmod(F.floor(h / len(words)).cast("bigint"), F.lit(most - least + 1))
+    number = F.regexp_extract("business_address", r"(\d+)", 1)
+    moved = F.when(number != "", F.regexp_replace(F.col("business_address"), F.concat(F.lit("^([^0-9]*)"), number), F.concat(F.lit("$1"), (F.expr("try_cast(nullif(regexp_extract(business_address, '([0-9]+)', 1), '') as bigint)") + shift).cast("string")))).otherwise(F.col("business_address"))
+    return records.select(F.col("entity_id").alias("of_id"), F.concat_ws(" ", "business_name", word).alias("business_name"), moved.alias("business_address"), "country")
