@@ -43,7 +43,11 @@ def key_lists() -> dict[str, Column]:
 def record_keys(records: DataFrame, types: list[str] | None = None) -> DataFrame:
     """entity_id, country, ktype, key; one pass over the records for all types."""
     lists = {k: v for k, v in key_lists().items() if types is None or k in types}
-    entries = F.flatten(F.array(*(F.transform(v, lambda x, k=k: F.struct(F.lit(k).alias("ktype"), x.alias("key"))) for k, v in lists.items())))
+
+    def typed(kind: str, keys: Column) -> Column:
+        return F.transform(keys, lambda x: F.struct(F.lit(kind).alias("ktype"), x.alias("key")))
+
+    entries = F.flatten(F.array(*(typed(k, v) for k, v in lists.items())))
     return records.select("entity_id", "country", F.explode(entries).alias("e")).select("entity_id", "country", "e.ktype", "e.key")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from linkmill.functions import similarity
@@ -10,10 +10,17 @@ from linkmill.functions import text as T
 from linkmill.operators.assignment import odds
 from linkmill.operators.records import ranked
 
-BY_S1, BY_CAND = Window.partitionBy("s1_id"), Window.partitionBy("cand_id")
 STRONG = 1.7
 
 
+def by_s1() -> WindowSpec:
+    return Window.partitionBy("s1_id")
+
+
+def by_cand() -> WindowSpec:
+    return Window.partitionBy("cand_id")
+
+
 def flag(c: Column) -> Column:
     return F.coalesce(c, F.lit(False)).cast("int")
 
@@ -32,7 +39,7 @@ def context_features(c: DataFrame, legacy: bool = True) -> DataFrame:
     """F01."""
     c = ranked(c, "rscore", "cand_id", "s1_id", "rev_rank")
     strong = F.when(F.col("rscore") >= STRONG, 1).otherwise(0)
-    c = c.withColumns({"n_cands_s1": F.count(F.lit(1)).over(BY_S1), "n_s1_cand": F.count(F.lit(1)).over(BY_CAND), "s1_max_rscore": F.max("rscore").over(BY_S1), "cand_max_rscore": F.max("rscore").over(BY_CAND), "n_strong_s1": F.sum(strong).over(BY_S1), "n_strong_cand": F.sum(strong).over(BY_CAND), "_two": second("rscore", ["cand_id"], "s1_id", legacy)})
+    c = c.withColumns({"n_cands_s1": F.count(F.lit(1)).over(by_s1()), "n_s1_cand": F.count(F.lit(1)).over(by_cand()), "s1_max_rscore": F.max("rscore").over(by_s1()), "cand_max_rscore": F.max("rscore").over(by_cand()), "n_strong_s1": F.sum(strong).over(by_s1()), "n_strong_cand": F.sum(strong).over(by_cand()), "_two": second("rscore", ["cand_id"], "s1_id", legacy)})
     r = F.col("rscore")
     return c.withColumns({"margin_s1": r - F.col("s1_max_rscore"), "margin_cand": r - F.col("cand_max_rscore"), "margin_cand2": r - F.coalesce("_two", F.lit(0.0))}).drop("_two")
 
@@ -96,7 +103,7 @@ def record_attributes(records: DataFrame, side: str) -> DataFrame:
 def cross_s1_exact(c: DataFrame, least: float = 0.9) -> DataFrame:
     """over all candidates: is the pair exact, and how many entities have the record at their number. Needs q_num, t_num, sim_n."""
     exact = flag((F.col("t_num") != "") & (F.col("t_num") == F.col("q_num")) & (F.col("sim_n") >= least))
-    return c.withColumn("self_exact", exact).withColumn("cand_exact_s1", F.sum("self_exact").over(BY_CAND))
+    return c.withColumn("self_exact", exact).withColumn("cand_exact_s1", F.sum("self_exact").over(by_cand()))
 
 
 def number_relation(x: DataFrame) -> DataFrame:
@@ -119,7 +126,7 @@ def twin_features(x: DataFrame, least: float = 0.9) -> DataFrame:
     q, t, hi = F.col("q_num"), F.col("t_num"), F.col("n_tset") >= least
     both = (q != "") & (t != "")
     x = x.withColumns({"_he": flag(hi & both & (q == t)), "_hi": flag(hi)})
-    x = x.withColumns({"s1_num_support": F.sum("_he").over(BY_S1), "s1_hi_name_n": F.sum("_hi").over(BY_S1), "cand_num_support": F.when(hi & (t != ""), F.sum("_hi").over(Window.partitionBy("s1_id", "t_num"))).otherwise(F.lit(0)), "other_s1_exact": F.coalesce("cand_exact_s1", F.lit(0)) - F.coalesce("self_exact", F.lit(0))})
+    x = x.withColumns({"s1_num_support": F.sum("_he").over(by_s1()), "s1_hi_name_n": F.sum("_hi").over(by_s1()), "cand_num_support": F.when(hi & (t != ""), F.sum("_hi").over(Window.partitionBy("s1_id", "t_num"))).otherwise(F.lit(0)), "other_s1_exact": F.coalesce("cand_exact_s1", F.lit(0)) - F.coalesce("self_exact", F.lit(0))})
     return x.withColumn("twin_flag", flag(hi & both & (q != t) & (F.col("s1_num_support") >= 1))).drop("_he", "_hi")
 
 
@@ -155,14 +162,14 @@ def cluster_features(pred: DataFrame, confident: float = 0.8) -> DataFrame:
     x = ranked(pred, "p", "s1_id", "cand_id", "p_rank")
     conf = F.col("p") > confident
     num, name = F.col("t_num") != "", F.col("t_name") != ""
-    order = BY_S1.orderBy(F.desc("p"), "cand_id")
+    order = by_s1().orderBy(F.desc("p"), "cand_id")
     x = x.withColumns(
         {
             "cand_best_other": F.coalesce(second("p", ["cand_id"], "s1_id", False), F.lit(0.0)),
-            "s1_sum_p": F.sum("p").over(BY_S1),
-            "s1_max_p": F.max("p").over(BY_S1),
-            "s1_n_p50": F.sum(flag(F.col("p") > 0.5)).over(BY_S1),
-            "s1_n_conf": F.sum(flag(conf)).over(BY_S1),
+            "s1_sum_p": F.sum("p").over(by_s1()),
+            "s1_max_p": F.max("p").over(by_s1()),
+            "s1_n_p50": F.sum(flag(F.col("p") > 0.5)).over(by_s1()),
+            "s1_n_conf": F.sum(flag(conf)).over(by_s1()),
             "p_gap_up": F.coalesce(F.lag("p", 1).over(order) - F.col("p"), F.lit(0.0)),
             "is_conf": flag(conf),
             "m_num": F.when(num, F.sum(flag(conf)).over(Window.partitionBy("s1_id", "t_num"))),
@@ -209,10 +216,10 @@ def stack_features(d: DataFrame, encoders: list[str], legacy: bool = True) -> Da
     conf = flag(F.col("p") >= 0.9)
     some = F.filter(F.array(*map(F.col, encoders)), lambda v: v.isNotNull())
     mean = F.when(F.size(some) > 0, F.aggregate(some, F.lit(0.0), lambda a, v: a + v) / F.size(some))
-    d = d.withColumns({"lp": F.ln(odds(F.col("p"))), "s1_psum": F.sum("p").over(BY_S1), "ce_mean": mean, "_c2": F.sum(F.when(~s3, conf).otherwise(0)).over(BY_S1), "_c3": F.sum(F.when(s3, conf).otherwise(0)).over(BY_S1), "p_other_max": second("p", ["s1_id"], "cand_id", False)})
+    d = d.withColumns({"lp": F.ln(odds(F.col("p"))), "s1_psum": F.sum("p").over(by_s1()), "ce_mean": mean, "_c2": F.sum(F.when(~s3, conf).otherwise(0)).over(by_s1()), "_c3": F.sum(F.when(s3, conf).otherwise(0)).over(by_s1()), "p_other_max": second("p", ["s1_id"], "cand_id", False)})
     d = d.withColumns({"same_src_conf": F.when(s3, F.col("_c3")).otherwise(F.col("_c2")), "other_src_conf": F.when(s3, F.col("_c2")).otherwise(F.col("_c3"))}).drop("_c2", "_c3")
     r = ranked(d.where(F.col(encoders[0]).isNotNull()), "ce_mean", "s1_id", "cand_id", "ce_rank")
-    return r.withColumns({"n_routed": F.count(F.lit(1)).over(BY_S1), "ce_other_max": second("ce_mean", ["s1_id"], "cand_id", legacy), "ce_cand_other_max": second("ce_mean", ["cand_id"], "s1_id", legacy)})
+    return r.withColumns({"n_routed": F.count(F.lit(1)).over(by_s1()), "ce_other_max": second("ce_mean", ["s1_id"], "cand_id", legacy), "ce_cand_other_max": second("ce_mean", ["cand_id"], "s1_id", legacy)})
 
 
 def error_group() -> Column:
@@ -234,7 +241,7 @@ def sibling_pairs(x: DataFrame) -> DataFrame:
     words = F.when((F.size(added) == 0) & (F.size(missing) == 0), "same").when(F.size(missing) == 0, "added").when(F.size(added) == 0, "dropped").otherwise("swapped")
     number = F.when(qi.isNull() | ti.isNull(), "none").when(qi == ti, "equal").when(F.abs(qi - ti) <= 10, "near").otherwise("far")
     x = x.withColumns({"n_added": F.size(added), "n_missing": F.size(missing), "num_offset": ti - qi, "words": words, "number": number})
-    x = x.withColumn("anchored", flag(F.max(flag((words == "same") & (number == "equal"))).over(BY_S1) == 1))
+    x = x.withColumn("anchored", flag(F.max(flag((words == "same") & (number == "equal"))).over(by_s1()) == 1))
     return x.withColumn("cell", F.concat_ws("/", "words", "number", F.when(F.col("anchored") == 1, "anchor").otherwise("free")))
 
 
@@ -242,4 +249,4 @@ def empty_address_signals(x: DataFrame) -> DataFrame:
     """for records without an address: how many entities and candidates bear the same name. Needs t_a_empty, n_core_eq."""
     x = x.where(F.col("t_a_empty"))
     same = flag(F.col("n_core_eq"))
-    return x.withColumns({"owners_same_name": F.sum(same).over(BY_CAND), "cands_same_name": F.sum(same).over(BY_S1)})
+    return x.withColumns({"owners_same_name": F.sum(same).over(by_cand()), "cands_same_name": F.sum(same).over(by_s1())})

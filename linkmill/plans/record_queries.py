@@ -1,0 +1,578 @@
+"""Queries of normalisation, blocking, similarity and record features over the record fixture."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from linkmill.functions import similarity as S
+from linkmill.functions import text as T
+from linkmill.operators import assignment as A
+from linkmill.operators import blocking as B
+from linkmill.operators import evaluation as E
+from linkmill.operators import features as X
+from linkmill.operators import learning as L
+from linkmill.operators import records as R
+from linkmill.operators import rules
+from linkmill.plans.fixtures import NORMAL, RECORDS, TRUTH, listed, mapped, query, record_truth, records, sql_base, sql_junk, sql_tokens, with_
+from linkmill.sources import files
+
+
+def normal(spark: SparkSession, d: str) -> DataFrame:
+    return R.normalize_records(records(spark, d))
+
+
+def sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return R.load_country(records(spark, d))
+
+
+def column(name: str, sql: str, make) -> None:
+    """A query of one derived column beside the id."""
+
+    def f(spark: SparkSession, d: str) -> DataFrame:
+        return records(spark, d).select("entity_id", make().alias(name))
+
+    f.__name__ = name
+    query(with_(RECORDS, f"SELECT entity_id, {sql} AS {name} FROM records"))(f)
+
+
+def folded_sql(x: str) -> str:
+    return f"regexp_replace(lower(strip_accents({x})), '[^a-z0-9 ]', ' ', 'g')"
+
+
+NUM_SQL = r"regexp_replace(nullif(regexp_extract(business_address, '(\d+)', 1), ''), '^0+(\d)', '\1')"
+FOLD_TOKENS = rf"list_sort(list_distinct(list_filter(string_split(regexp_replace({folded_sql('business_name')}, '\b({'|'.join(T.LEGAL_WORDS)})\b', ' ', 'g'), ' '), lambda t: length(t) >= 2)))"
+STRIP_SQL = rf"trim(regexp_replace(regexp_replace({folded_sql('business_address')}, '\b({'|'.join(T.STREET_WORDS)})\b', ' ', 'g'), '\s+', ' ', 'g'))"
+NAME, ADDRESS = lambda: F.col("business_name"), lambda: F.col("business_address")
+
+column("norm_base", sql_base("business_name"), lambda: T.base_clean(NAME()))
+column("norm_tokens", sql_tokens("business_name"), lambda: T.tokens_text(NAME()))
+column("norm_junk", sql_junk(sql_base("business_name")), lambda: T.without_junk(T.base_clean(NAME())))
+column("is_domain", rf"regexp_matches({sql_base('business_name')}, '{T.DOMAIN}|^\W*@')", lambda: T.is_domain(T.base_clean(NAME())))
+column("fold_tokens", f"array_to_string({FOLD_TOKENS}, ' ')", lambda: F.array_join(T.fold_tokens(NAME()), " "))
+column("first_number", NUM_SQL, lambda: T.first_number(ADDRESS()))
+column("strip_addr", STRIP_SQL, lambda: T.strip_address(ADDRESS()))
+column("fold_key", f"regexp_replace({folded_sql('business_name')}, ' +', '', 'g')", lambda: T.fold_key(NAME()))
+column("addr_empty", f"lower(trim(business_address)) IN ({', '.join(repr(x) for x in T.EMPTY_ADDRESSES)})", lambda: T.address_missing(ADDRESS()))
+
+SPACED = f"' ' || trim(regexp_replace({folded_sql('business_name')}, ' +', ' ', 'g')) || ' '"
+for _a, _b in T.SPACED_FORMS:
+    SPACED = f"replace({SPACED}, ' {_a} ', ' {_b} ')"
+column("legal_forms_fr", f"array_to_string(list_sort(list_distinct(list_filter(string_split(trim({SPACED}), ' '), lambda t: list_contains(['sarl','sas','sasu','eurl','snc','sci','sa','ei'], t)))), ' ')", lambda: F.array_join(T.legal_forms_spaced(NAME()), " "))
+
+
+@query()
+def is_native(spark, d):
+    rows = spark.createDataFrame([(1, "राम ट्रेडर्स"), (2, "Plain name"), (3, "కంపెనీ")], "k int, name string")
+    return rows.select("k", T.is_native(F.col("name")).alias("is_native"))
+
+
+NAMES = "entity_id, n_full, n_core, n_alias, n_nospace, has_alias"
+
+
+@query(with_(NORMAL, f"SELECT {NAMES}, array_to_string(n_toks, ' ') AS n_toks FROM recs"))
+def normalize_names(spark, d):
+    return R.normalize_names(records(spark, d)).select(*NAMES.split(", "), F.array_join("n_toks", " ").alias("n_toks"))
+
+
+@query(with_(NORMAL, "SELECT entity_id, a_norm, a_empty, a_num, a_street, array_to_string(a_toks, ' ') AS a_toks FROM recs"))
+def normalize_addresses(spark, d):
+    return R.normalize_addresses(records(spark, d)).select("entity_id", "a_norm", "a_empty", "a_num", "a_street", F.array_join("a_toks", " ").alias("a_toks"))
+
+
+@query(with_(NORMAL, "SELECT entity_id, n_core, n_nospace, a_norm, a_num, a_street, country FROM recs"))
+def normalize_records(spark, d):
+    return normal(spark, d).select("entity_id", "n_core", "n_nospace", "a_norm", "a_num", "a_street", "country")
+
+
+@query(with_(NORMAL, "SELECT entity_id, a_num, a_street FROM recs WHERE a_num <> ''"))
+def house_number(spark, d):
+    return normal(spark, d).where("a_num <> ''").select("entity_id", "a_num", "a_street")
+
+
+@query(with_(NORMAL, "SELECT entity_id, array_to_string(n_toks, ' ') AS n_toks, len(n_toks) AS n FROM recs"))
+def name_tokens(spark, d):
+    return normal(spark, d).select("entity_id", F.array_join("n_toks", " ").alias("n_toks"), F.size("n_toks").cast("long").alias("n"))
+
+
+@query(with_(NORMAL, "SELECT country, entity_id LIKE 'S1-%' AS is_s1, count(*) AS n, sum(len(n_toks))::BIGINT AS toks FROM recs GROUP BY 1, 2"))
+def load_country(spark, d):
+    q, t = sides(spark, d)
+    both = q.withColumn("is_s1", F.lit(True)).unionByName(t.withColumn("is_s1", F.lit(False)))
+    return both.groupBy("country", "is_s1").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("n_toks")).alias("toks"))
+
+
+DIRTY = [(1, "Foo Traders f/k/a Bar & Sons Ltd"), (2, "ACME (ID: 123) Pvt Limited #70318"), (3, "www.société-générale.fr"), (4, "@handle shop"), (5, "Old Name, trading as New Name LLC"), (6, "Plain"), (7, "x dba y dba z")]
+DIRTY_SQL = "dirty AS (SELECT * FROM (VALUES " + ", ".join(f"({k}, '{n}')" for k, n in DIRTY) + ") AS t(k, name))"
+_J = sql_junk(sql_base("name"))
+
+
+@query(with_(DIRTY_SQL, f"SELECT k, regexp_matches({_J}, '{T.alias_pattern()}') AS has_alias, regexp_extract({_J}, '{T.alias_pattern()}', 1) AS before, regexp_extract({_J}, '{T.alias_pattern()}', 2) AS behind FROM dirty"))
+def alias_split(spark, d):
+    rows = spark.createDataFrame(DIRTY, "k int, name string").withColumn("j", T.without_junk(T.base_clean(F.col("name"))))
+    return rows.select("k", T.has_alias(F.col("j")).alias("has_alias"), T.alias_part(F.col("j"), 1).alias("before"), T.alias_part(F.col("j"), 2).alias("behind"))
+
+
+# Transliteration: records whose tokens play the native part are those with a marker letter, in SQL as here.
+NATIVE = [(1, "ram traders", "राम ट्रेडर्स", "12 main road", "१२ मुख्य रोड"), (2, "ram stores", "राम स्टोर्स", "5 main road", "5 मुख्य रोड"), (3, "shyam traders", "श्याम ट्रेडर्स", "9 lake road", "9 झील रोड"), (4, "one two", "एक", "a", "b"), (5, "ram traders", "राम ट्रेडर्स", "7 main street", "7 मुख्य मार्ग")]
+
+
+def native_pairs(spark):
+    return spark.createDataFrame(NATIVE, "r int, s_name string, t_name string, s_addr string, t_addr string")
+
+
+@query("SELECT * FROM (VALUES ('राम', 'ram'), ('ट्रेडर्स', 'traders'), ('मुख्य', 'main'), ('रोड', 'road')) AS t(native, latin)")
+def learn_map(spark, d):
+    return R.learn_map(native_pairs(spark))
+
+
+@query("SELECT * FROM (VALUES (1, 'ram traders', false, true), (2, 'ram स्टोर्स', true, true), (3, 'श्याम traders', true, true), (4, 'एक', true, true), (5, 'ram traders', false, true)) AS t(r, n_core, is_native, was_native)")
+def transliterate(spark, d):
+    rows = native_pairs(spark)
+    rows = R.normalize_records(rows.select("r", F.col("t_name").alias("business_name"), F.col("t_addr").alias("business_address")))
+    return R.transliterate(rows, R.learn_map(native_pairs(spark))).select("r", "n_core", "is_native", "was_native")
+
+
+@query("SELECT 6 / 9.0::DOUBLE AS coverage")
+def translit_coverage(spark, d):
+    rows = native_pairs(spark).withColumnRenamed("t_name", "n_full")
+    return R.map_coverage(rows, R.learn_map(native_pairs(spark)))
+
+
+@query("SELECT * FROM (VALUES ('a', 'x'), ('b', 'y')) AS t(native, latin)")
+def best_token(spark, d):
+    rows = [(1, "a", "x"), (2, "a", "x"), (3, "a", "z"), (1, "b", "y"), (2, "b", "y"), (1, "b", "w"), (2, "b", "zz"), (4, "c", "q")]
+    return R.best_token(spark.createDataFrame(rows, "r int, native string, latin string"))
+
+
+# --- blocking ----------------------------------------------------------------------------------
+
+KEY_SQL = {
+    "A": "SELECT entity_id, country, a_num || '|' || a_street AS key FROM recs WHERE a_num <> '' AND a_street <> ''",
+    "N": "SELECT * FROM (SELECT entity_id, country, unnest(list_distinct(n_toks)) AS key FROM recs) WHERE length(key) >= 3",
+    "P": "SELECT entity_id, country, substr(n_nospace, 1, 10) AS key FROM recs WHERE length(n_nospace) >= 6",
+    "S": "SELECT entity_id, country, array_to_string(list_sort(n_toks), ' ') AS key FROM recs WHERE len(n_toks) >= 1",
+    "R": rf"SELECT * FROM (SELECT entity_id, country, unnest(list_distinct(a_toks)) AS key FROM recs) WHERE length(key) >= 4 AND NOT regexp_matches(key, '\d') AND NOT list_contains({listed(T.ADDRESS_STOP)}, key)",
+    "B": "SELECT entity_id, country, unnest(list_distinct(list_transform(range(1, least(len(a_toks), 30)), lambda i: a_toks[i] || ' ' || a_toks[i + 1]))) AS key FROM recs",
+    "NB": "SELECT x.entity_id, x.country, x.k || ' ' || y.k AS key FROM five x JOIN five y ON x.entity_id = y.entity_id AND x.k < y.k",
+    "AN": "SELECT * FROM (SELECT entity_id, country, a_num || '|' || u AS key FROM (SELECT entity_id, country, a_num, unnest(list_distinct(n_toks)) AS u FROM recs WHERE a_num <> '') WHERE length(u) >= 3)",
+}
+FIVE = "five AS (SELECT entity_id, country, unnest(list_sort(list_distinct(n_toks))[1:5]) AS k FROM recs)"
+ALL_KEYS = "keys AS (" + " UNION ALL ".join(f"SELECT entity_id, country, '{k}' AS ktype, key FROM ({s})" for k, s in KEY_SQL.items()) + ")"
+KEYED = (NORMAL, FIVE, ALL_KEYS)
+
+
+def key_query(kind: str) -> None:
+    def f(spark: SparkSession, d: str) -> DataFrame:
+        return B.record_keys(normal(spark, d), [kind]).select("entity_id", "country", "key")
+
+    f.__name__ = f"keys_{kind}"
+    query(with_(NORMAL, FIVE, KEY_SQL[kind]))(f)
+
+
+for _k in KEY_SQL:
+    key_query(_k)
+
+
+@query(with_(*KEYED, "SELECT entity_id, country, ktype, key FROM keys"))
+def record_keys(spark, d):
+    return B.record_keys(normal(spark, d))
+
+
+INDEX = f"idx AS (SELECT country, ktype, key, df, round({mapped(B.WEIGHTS)}[ktype] / log2(df + 1), 6) AS w FROM (SELECT country, ktype, key, count(*) AS df FROM keys WHERE entity_id NOT LIKE 'S1-%' GROUP BY 1, 2, 3) WHERE df <= {mapped(B.CAPS)}[ktype])"
+STAGE1 = f"stage1 AS (SELECT q.country, q.entity_id AS q, t.entity_id AS t, round(sum({mapped(B.WEIGHTS)}[q.ktype] / log2(i.df + 1)), 4) AS bscore, bit_or({mapped(B.BITS)}[q.ktype])::INTEGER AS kbits FROM keys q JOIN keys t ON q.country = t.country AND q.ktype = t.ktype AND q.key = t.key JOIN idx i ON i.country = t.country AND i.ktype = t.ktype AND i.key = t.key WHERE q.entity_id LIKE 'S1-%' AND t.entity_id NOT LIKE 'S1-%' GROUP BY 1, 2, 3)"
+
+
+@query(with_(*KEYED, INDEX, "SELECT country, ktype, key, df, w FROM idx"))
+def index_targets(spark, d):
+    _, t = sides(spark, d)
+    return B.index_targets(B.record_keys(t)).select("country", "ktype", "key", "df", F.round("w", 6).alias("w"))
+
+
+def stage1(spark, d):
+    q, t = sides(spark, d)
+    return B.stage1_pairs(B.record_keys(q), B.record_keys(t))
+
+
+@query(with_(*KEYED, INDEX, STAGE1, "SELECT q, t, round(bscore, 3) AS bscore, kbits FROM stage1"))
+def stage1_pairs(spark, d):
+    return stage1(spark, d).select("q", "t", F.round("bscore", 3).alias("bscore"), "kbits")
+
+
+POOL = "pool AS (SELECT * EXCLUDE r FROM (SELECT *, row_number() OVER (PARTITION BY country, q ORDER BY bscore DESC, t) AS r FROM stage1) WHERE r <= 600)"
+JACCARD = "CASE WHEN len(list_distinct(list_concat({a}, {b}))) > 0 THEN len(list_intersect(list_distinct({a}), list_distinct({b}))) / len(list_distinct(list_concat({a}, {b})))::DOUBLE ELSE 0.0 END"
+SIMILAR = f"sims AS (SELECT p.*, {JACCARD.format(a='x.n_toks', b='y.n_toks')} AS sim_n, {JACCARD.format(a='x.a_toks', b='y.a_toks')} AS sim_a, false AS t_native, y.a_empty AS t_aempty FROM pool p JOIN recs x ON x.entity_id = p.q JOIN recs y ON y.entity_id = p.t)"
+RSCORE = "resc AS (SELECT *, round(CASE WHEN t_native THEN 0.7 ELSE sim_n END + CASE WHEN t_aempty THEN 0.7 ELSE sim_a END + 0.05 * least(bscore, 10.0), 4) AS rscore FROM sims)"
+CANDS = "cands AS (SELECT * EXCLUDE (f, b), (row_number() OVER (PARTITION BY country, q ORDER BY rscore DESC, t))::INTEGER AS brank FROM (SELECT *, row_number() OVER (PARTITION BY country, q ORDER BY rscore DESC, t) AS f, row_number() OVER (PARTITION BY country, t ORDER BY rscore DESC, q) AS b FROM resc) WHERE f <= 20 OR b <= 3)"
+CHAIN = (*KEYED, INDEX, STAGE1, POOL, SIMILAR, RSCORE, CANDS)
+
+
+def candidates(spark, d):
+    q, t = sides(spark, d)
+    return B.generate_candidates(q, t, similar=B.plain_similarity)
+
+
+@query(with_(*KEYED, INDEX, STAGE1, POOL.replace("600", "5"), "SELECT q, t FROM pool"))
+def pool_topk(spark, d):
+    return B.pool_topk(stage1(spark, d), 5).select("q", "t")
+
+
+@query(with_(*KEYED, INDEX, STAGE1, "SELECT q, t FROM (SELECT *, row_number() OVER (PARTITION BY country, t ORDER BY bscore DESC, q) AS r FROM stage1) WHERE r <= 3"))
+def reverse_topk(spark, d):
+    return B.reverse_topk(stage1(spark, d), 3, "bscore").select("q", "t")
+
+
+@query()
+def pair_similarity(spark, d):
+    q, t = sides(spark, d)
+    pool = B.pool_topk(stage1(spark, d), 5)
+    return B.pair_similarity(pool, q, t).select("q", "t", F.round("sim_n", 6).alias("sim_n"), F.round("sim_a", 6).alias("sim_a"))
+
+
+@query(with_(*CHAIN[:-1], "SELECT q, t, round(sim_n, 6) AS sim_n, round(sim_a, 6) AS sim_a, round(rscore, 3) AS rscore FROM resc"))
+def rerank_score(spark, d):
+    q, t = sides(spark, d)
+    x = B.plain_similarity(B.pool_topk(stage1(spark, d)), q, t).withColumn("rscore", B.rerank_score())
+    return x.select("q", "t", *(F.round(c, 6).alias(c) for c in ("sim_n", "sim_a")), F.round("rscore", 3).alias("rscore"))
+
+
+@query(with_(*CHAIN, "SELECT q, t, round(rscore, 3) AS rscore, brank FROM cands"))
+def generate_candidates(spark, d):
+    return candidates(spark, d).select("q", "t", F.round("rscore", 3).alias("rscore"), "brank")
+
+
+def truth(spark, d):
+    return record_truth(records(spark, d)).select(F.col("s1_id").alias("q"), F.col("cand_id").alias("t"))
+
+
+@query(with_(*CHAIN, TRUTH, "h AS (SELECT u.s1_id, (c.q IS NOT NULL)::INT AS hit FROM truth u LEFT JOIN cands c ON c.q = u.s1_id AND c.t = u.cand_id)", "SELECT round((SELECT avg(hit) FROM h), 6) AS pair_recall, round((SELECT avg(m) FROM (SELECT min(hit) AS m FROM h GROUP BY s1_id)), 6) AS cluster_recall, round((SELECT count(*) FROM cands) / (SELECT count(*) FROM recs WHERE entity_id LIKE 'S1-%'), 6) AS cands_per_s1"))
+def blocking_recall(spark, d):
+    q, _ = sides(spark, d)
+    out = B.blocking_recall(candidates(spark, d), truth(spark, d), q)
+    return out.select(*(F.round(c, 6).alias(c) for c in out.columns))
+
+
+@query(with_(*CHAIN, TRUTH, "SELECT CASE WHEN c.q IS NOT NULL THEN 'found' WHEN p.q IS NOT NULL THEN 'topk_cut' WHEN s.q IS NOT NULL THEN 'pool_cut' ELSE 'no_key' END AS bucket, count(*) AS n FROM truth u LEFT JOIN cands c ON c.q = u.s1_id AND c.t = u.cand_id LEFT JOIN pool p ON p.q = u.s1_id AND p.t = u.cand_id LEFT JOIN stage1 s ON s.q = u.s1_id AND s.t = u.cand_id GROUP BY 1"))
+def retrieval_buckets(spark, d):
+    s = stage1(spark, d)
+    return B.retrieval_buckets(truth(spark, d), s, B.pool_topk(s), candidates(spark, d))
+
+
+GRAMS = "grams AS (SELECT entity_id, country, unnest(list_distinct(list_transform(range(1, length(n_nospace) - 1), lambda i: substr(n_nospace, i, 3)))) AS key FROM recs WHERE length(n_nospace) >= 3)"
+
+
+@query(with_(NORMAL, GRAMS, "ix AS (SELECT country, key, count(*) AS df FROM grams WHERE entity_id NOT LIKE 'S1-%' GROUP BY 1, 2 HAVING count(*) <= 200)", "sc AS (SELECT q.country, q.entity_id AS q, t.entity_id AS t, round(sum(1 / log2(df + 1)), 4) AS score FROM grams q JOIN grams t ON q.country = t.country AND q.key = t.key JOIN ix ON ix.country = t.country AND ix.key = t.key WHERE q.entity_id LIKE 'S1-%' AND t.entity_id NOT LIKE 'S1-%' GROUP BY 1, 2, 3)", "SELECT q, t, round(score, 3) AS score FROM (SELECT *, row_number() OVER (PARTITION BY country, q ORDER BY score DESC, t) AS r FROM sc) WHERE r <= 5"))
+def trigram_route(spark, d):
+    q, t = sides(spark, d)
+    return B.trigram_route(q, t, 200, 5).select("q", "t", F.round("score", 3).alias("score"))
+
+
+@query(with_(*CHAIN, "nm AS (SELECT entity_id AS t, country, n_nospace AS k FROM recs WHERE n_nospace <> '' AND entity_id NOT LIKE 'S1-%')", "SELECT DISTINCT c.country, c.q, o.t FROM cands c JOIN nm n ON n.t = c.t AND n.country = c.country JOIN nm o ON o.k = n.k AND o.country = n.country WHERE NOT EXISTS (SELECT 1 FROM cands z WHERE z.q = c.q AND z.t = o.t)"))
+def sibling_route(spark, d):
+    _, t = sides(spark, d)
+    return B.sibling_route(candidates(spark, d), t)
+
+
+@query(with_(NORMAL, "one AS (SELECT country, n_core, min(entity_id) AS q FROM recs WHERE n_core <> '' AND entity_id LIKE 'S1-%' GROUP BY 1, 2 HAVING count(DISTINCT entity_id) = 1)", "SELECT o.country, o.q, r.entity_id AS t FROM one o JOIN recs r ON r.country = o.country AND r.n_core = o.n_core WHERE r.entity_id NOT LIKE 'S1-%'"))
+def anchor_bridge(spark, d):
+    return B.anchor_bridge(*sides(spark, d))
+
+
+@query(with_(NORMAL, FIVE, f"keys AS (SELECT entity_id, country, 'AN' AS ktype, key FROM ({KEY_SQL['AN']}))", INDEX.replace("'AN': 300", "'AN': 40"), STAGE1, "SELECT country, t, q, round(bscore, 3) AS bscore FROM (SELECT *, row_number() OVER (PARTITION BY country, t ORDER BY bscore DESC, q) AS r FROM stage1) WHERE r = 1"))
+def brand_assign(spark, d):
+    return B.brand_assign(*sides(spark, d)).select("country", "t", "q", F.round("bscore", 3).alias("bscore"))
+
+
+@query()
+def incr_recovery(spark, d):
+    q, t = sides(spark, d)
+    return B.unique_key_pairs(q, t, candidates(spark, d).where("brank > 1"), 0.5)
+
+
+@query(with_(*CHAIN, "ob AS (SELECT x.country, x.entity_id AS q, y.entity_id AS t FROM recs x JOIN recs y ON x.country = y.country AND x.n_nospace = y.n_nospace AND x.a_num = y.a_num WHERE x.entity_id LIKE 'S1-%' AND y.entity_id NOT LIKE 'S1-%' AND x.n_nospace <> '' AND x.a_num <> '')", "SELECT o.country, count(*) AS n, round(avg((c.q IS NOT NULL)::INT), 6) AS recall FROM ob o LEFT JOIN cands c ON c.q = o.q AND c.t = o.t GROUP BY 1"))
+def obvious_recall(spark, d):
+    return B.obvious_recall(*sides(spark, d), candidates(spark, d)).withColumn("recall", F.round("recall", 6))
+
+
+@query(with_(*CHAIN, TRUTH, """owned AS (SELECT * EXCLUDE r FROM (SELECT *, row_number() OVER (PARTITION BY t ORDER BY rscore DESC, q) AS r FROM cands) WHERE r = 1 AND rscore >= 1.0),
+ids AS (SELECT entity_id AS s1_id, country FROM recs WHERE entity_id LIKE 'S1-%'),
+sc AS (SELECT i.country, CASE WHEN a.n IS NULL AND b.n IS NULL THEN 1.0 WHEN a.n IS NULL OR b.n IS NULL THEN 0.0 ELSE 1.25 * coalesce(h.n, 0) / (0.25 * a.n + b.n) END AS f05 FROM ids i
+LEFT JOIN (SELECT s1_id, count(*) AS n FROM truth GROUP BY 1) a ON a.s1_id = i.s1_id LEFT JOIN (SELECT q, count(*) AS n FROM owned GROUP BY 1) b ON b.q = i.s1_id
+LEFT JOIN (SELECT o.q, count(*) AS n FROM owned o JOIN truth u ON u.s1_id = o.q AND u.cand_id = o.t GROUP BY 1) h ON h.q = i.s1_id)""", "SELECT country, count(*) AS n, round(avg(f05), 6) AS f05 FROM sc GROUP BY 1"))
+def baseline(spark, d):
+    """The whole rule path: normalise, block, rank, assign owners, select, score per country."""
+    q, _ = sides(spark, d)
+    cands = candidates(spark, d).select(F.col("q").alias("s1_id"), F.col("t").alias("cand_id"), "rscore")
+    report = E.f05_report(record_truth(records(spark, d)), A.baseline(cands, 1.0), q.select(F.col("entity_id").alias("s1_id"), "country"))
+    return report.withColumn("f05", F.round("f05", 6))
+
+
+# --- similarities and features -----------------------------------------------------------------
+
+
+def text_pairs(spark, d) -> DataFrame:
+    """Pairs of normalised records by a shared first key, as q_ and t_ columns."""
+    q, t = sides(spark, d)
+    pairs = B.pool_topk(stage1(spark, d), 3)
+    return B.with_sides(pairs, X.genericness(q), X.genericness(t), [*X.SIDE, "business_address"], (*X.T_ONLY,)).withColumnsRenamed({"q": "s1_id", "t": "cand_id"})
+
+
+TOP3 = (*KEYED, INDEX, STAGE1, POOL.replace("600", "3"))
+BOTH = "JOIN recs x ON x.entity_id = p.q JOIN recs y ON y.entity_id = p.t"
+
+
+def scorer_query(name: str, kind: str, sql: str | None) -> None:
+    def f(spark: SparkSession, d: str) -> DataFrame:
+        x = text_pairs(spark, d).withColumn("s", S.scores({"v": (kind, F.col("q_n_nospace") if kind in ("jw",) else F.col("q_n_core"), F.col("t_n_nospace") if kind in ("jw",) else F.col("t_n_core"))}))
+        return x.select("s1_id", "cand_id", F.round("s.v", 6).alias("v"))
+
+    f.__name__ = name
+    query(sql)(f)
+
+
+for _n, _kind in (("sim_ratio", "ratio"), ("sim_partial", "partial"), ("sim_tsort", "tsort"), ("sim_tset", "tset")):
+    scorer_query(_n, _kind, None)
+scorer_query("sim_jw", "jw", with_(*TOP3, f"SELECT p.q AS s1_id, p.t AS cand_id, round(jaro_winkler_similarity(x.n_nospace, y.n_nospace), 6) AS v FROM pool p {BOTH}"))
+
+
+@query(with_(*TOP3, f"SELECT p.q AS s1_id, p.t AS cand_id, levenshtein(x.n_core, y.n_core)::INTEGER AS v FROM pool p {BOTH}"))
+def sim_lev(spark, d):
+    return text_pairs(spark, d).select("s1_id", "cand_id", F.levenshtein("q_n_core", "t_n_core").alias("v"))
+
+
+@query(with_(*TOP3, f"SELECT p.q AS s1_id, p.t AS cand_id, round({JACCARD.format(a='x.n_toks', b='y.n_toks')}, 6) AS v FROM pool p {BOTH}"))
+def jaccard_tokens(spark, d):
+    return text_pairs(spark, d).select("s1_id", "cand_id", F.round(S.jaccard(F.col("q_n_toks"), F.col("t_n_toks")), 6).alias("v"))
+
+
+@query()
+def string_features(spark, d):
+    x = X.string_features(text_pairs(spark, d))
+    return x.select("s1_id", "cand_id", *(F.round(c, 6).alias(c) for c in ("n_tset", "n_tsort", "n_ratio", "n_partial", "n_jw", "a_tset", "a_ratio")))
+
+
+@query(with_(*TOP3, f"SELECT p.q AS s1_id, p.t AS cand_id, round({JACCARD.format(a='x.n_toks', b='y.n_toks')}, 6) AS n_jacc, round({JACCARD.format(a='x.a_toks', b='y.a_toks')}, 6) AS a_jacc, len(x.n_toks)::INTEGER AS q_n_ntok, len(y.n_toks)::INTEGER AS t_n_ntok, len(y.a_toks)::INTEGER AS t_a_ntok FROM pool p {BOTH}"))
+def token_features(spark, d):
+    x = X.token_features(text_pairs(spark, d))
+    return x.select("s1_id", "cand_id", F.round("n_jacc", 6).alias("n_jacc"), F.round("a_jacc", 6).alias("a_jacc"), "q_n_ntok", "t_n_ntok", "t_a_ntok")
+
+
+@query(with_(*TOP3, f"SELECT p.q AS s1_id, p.t AS cand_id, (x.a_num <> '' AND y.a_num <> '')::INTEGER AS num_both, (x.a_num <> '' AND x.a_num = y.a_num)::INTEGER AS num_eq, (x.a_street <> '' AND x.a_street = y.a_street)::INTEGER AS street_eq, list_contains(y.a_toks, x.a_num)::INTEGER AS num_in_t, (x.a_num <> '' AND y.a_num <> '' AND x.a_num <> y.a_num)::INTEGER AS num_conflict, (p.t LIKE 'S3-%')::INTEGER AS is_s3 FROM pool p {BOTH}"))
+def number_features(spark, d):
+    return X.number_features(text_pairs(spark, d)).select("s1_id", "cand_id", "num_both", "num_eq", "street_eq", "num_in_t", "num_conflict", "is_s3")
+
+
+PIN = "nullif(regexp_extract({}.a_norm, '\\b(\\d{{6}})\\b', 1), '')"
+
+
+@query(with_(*TOP3, f"SELECT p.q AS s1_id, p.t AS cand_id, coalesce({PIN.format('x')} = {PIN.format('y')}, false)::INTEGER AS pin_eq, coalesce({PIN.format('x')} <> {PIN.format('y')}, false)::INTEGER AS pin_conflict FROM pool p {BOTH}"))
+def pin_features(spark, d):
+    return X.pin_features(text_pairs(spark, d)).select("s1_id", "cand_id", "pin_eq", "pin_conflict")
+
+
+@query(with_(NORMAL, "SELECT entity_id, count(*) OVER (PARTITION BY country, n_core) AS n_core_cnt, count(*) OVER (PARTITION BY country, a_norm) AS a_norm_cnt FROM recs"))
+def genericness(spark, d):
+    return X.genericness(normal(spark, d)).select("entity_id", "n_core_cnt", "a_norm_cnt")
+
+
+@query()
+def pair_features(spark, d):
+    q, t = sides(spark, d)
+    c = candidates(spark, d).select(F.col("q").alias("s1_id"), F.col("t").alias("cand_id"), "rscore", "bscore", "sim_n")
+    x = X.pair_features(c, q, t)
+    return x.select("s1_id", "cand_id", "rev_rank", "n_cands_s1", "num_eq", "street_eq", F.round("n_tset", 6).alias("n_tset"), F.round("a_tset", 6).alias("a_tset"))
+
+
+@query()
+def s1_descriptors(spark, d):
+    q, t = sides(spark, d)
+    c = candidates(spark, d).select(F.col("q").alias("s1_id"), F.col("t").alias("cand_id"), "rscore", "bscore", "sim_n")
+    x = X.s1_descriptors(X.pair_features(c, q, t))
+    return x.withColumns({k: F.round(k, 6) for k in ("rscore_mean", "n_s1_cand_mean")})
+
+
+@query()
+def extra_features(spark, d):
+    q, t = sides(spark, d)
+    c = candidates(spark, d).select(F.col("q").alias("s1_id"), F.col("t").alias("cand_id"), "sim_n", F.col("sim_n").alias("n_tset"))
+    keep = ["s1_id", "cand_id", "num_absdiff", "num_prefix", "form_added", "form_disjoint", "s1_num_support", "cand_num_support", "other_s1_exact", "twin_flag", "compound_shared", "unit_eq", "name_q_only", "name_t_only"]
+    return X.extra_features(c, q, t).select(*keep)
+
+
+NUMS = "x.a_num <> '' AND y.a_num <> ''"
+INT_X, INT_Y = (f"try_cast(nullif(regexp_extract({s}.a_num, '^([0-9]+)', 1), '') AS BIGINT)" for s in "xy")
+
+
+@query(with_(*TOP3, f"SELECT p.q AS s1_id, p.t AS cand_id, CASE WHEN {NUMS} THEN abs({INT_X} - {INT_Y}) END AS num_absdiff, round(CASE WHEN {NUMS} AND {INT_X} > 0 THEN abs({INT_X} - {INT_Y}) / {INT_X}::DOUBLE END, 6) AS num_reldiff, ({NUMS} AND x.a_num <> y.a_num AND (starts_with(x.a_num, y.a_num) OR starts_with(y.a_num, x.a_num)))::INTEGER AS num_prefix, CASE WHEN {NUMS} THEN length(x.a_num) - length(y.a_num) END::INTEGER AS num_len_diff, CASE WHEN {NUMS} THEN levenshtein(x.a_num, y.a_num) END::INTEGER AS num_digit_lev FROM pool p {BOTH}"))
+def number_relation(spark, d):
+    x = X.number_relation(text_pairs(spark, d).withColumnsRenamed({"q_a_num": "q_num", "t_a_num": "t_num"}))
+    return x.select("s1_id", "cand_id", "num_absdiff", F.round("num_reldiff", 6).alias("num_reldiff"), "num_prefix", "num_len_diff", "num_digit_lev")
+
+
+FORMS = f"list_sort(list_distinct(list_filter(list_transform(string_split(n_full, ' '), lambda t: {mapped(T.FORM_CLASSES)}[t]), lambda t: t IS NOT NULL)))"
+
+
+@query(with_(NORMAL, f"SELECT entity_id, array_to_string({FORMS}, ' ') AS forms FROM recs"))
+def legal_forms(spark, d):
+    return normal(spark, d).select("entity_id", F.array_join(T.form_classes(F.col("n_full")), " ").alias("forms"))
+
+
+@query(with_(*TOP3, f"f AS (SELECT entity_id, {FORMS} AS f FROM recs)", "SELECT p.q AS s1_id, p.t AS cand_id, len(x.f)::INTEGER AS form_q_n, len(y.f)::INTEGER AS form_t_n, len(list_filter(y.f, lambda v: NOT list_contains(x.f, v)))::INTEGER AS form_added, len(list_filter(x.f, lambda v: NOT list_contains(y.f, v)))::INTEGER AS form_dropped, (len(x.f) > 0 AND len(y.f) > 0 AND len(list_intersect(x.f, y.f)) = 0)::INTEGER AS form_disjoint FROM pool p JOIN f x ON x.entity_id = p.q JOIN f y ON y.entity_id = p.t"))
+def form_relation(spark, d):
+    x = text_pairs(spark, d).withColumns({f"{s}_forms": T.form_classes(F.col(f"{s}_n_full")) for s in "qt"})
+    return X.form_relation(x).select("s1_id", "cand_id", "form_q_n", "form_t_n", "form_added", "form_dropped", "form_disjoint")
+
+
+RAW = r"regexp_replace(lower(business_address), '\b0+(\d)', '\1', 'g')"
+
+
+@query(with_(RECORDS, rf"SELECT entity_id, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all({RAW}, '\b([a-z]?-?\d+[a-z]*(?:[-/][a-z0-9]+)*)', 1), lambda t: regexp_replace(t, '^-+', '')))), ' ') AS numtoks FROM records"))
+def raw_addr_attrs(spark, d):
+    return records(spark, d).select("entity_id", F.array_join(T.number_tokens(F.col("business_address")), " ").alias("numtoks"))
+
+
+@query(with_(*TOP3, "SELECT p.q AS s1_id, p.t AS cand_id, (x.a_num <> '' AND x.a_num = y.a_num)::INTEGER AS self_exact, sum((x.a_num <> '' AND x.a_num = y.a_num)::INT) OVER (PARTITION BY p.t)::BIGINT AS cand_exact_s1 FROM pool p " + BOTH))
+def cross_s1_exact(spark, d):
+    x = text_pairs(spark, d).withColumnsRenamed({"q_a_num": "q_num", "t_a_num": "t_num"}).withColumn("sim_n", F.lit(1.0))
+    return X.cross_s1_exact(x).select("s1_id", "cand_id", "self_exact", "cand_exact_s1")
+
+
+TWIN = f"tw AS (SELECT p.q AS s1_id, p.t AS cand_id, x.a_num AS qn, y.a_num AS tn, {JACCARD.format(a='x.n_toks', b='y.n_toks')} >= 0.1 AS hi FROM pool p {BOTH})"
+
+
+@query(with_(*TOP3, TWIN, "u AS (SELECT *, sum((hi AND qn <> '' AND tn <> '' AND qn = tn)::INT) OVER s::BIGINT AS s1_num_support, sum(hi::INT) OVER s::BIGINT AS s1_hi_name_n, CASE WHEN hi AND tn <> '' THEN sum(hi::INT) OVER (PARTITION BY s1_id, tn) ELSE 0 END::BIGINT AS cand_num_support FROM tw WINDOW s AS (PARTITION BY s1_id))", "SELECT s1_id, cand_id, s1_num_support, s1_hi_name_n, cand_num_support, (hi AND qn <> '' AND tn <> '' AND qn <> tn AND s1_num_support >= 1)::INTEGER AS twin_flag FROM u"))
+def twin_features(spark, d):
+    x = text_pairs(spark, d).withColumnsRenamed({"q_a_num": "q_num", "t_a_num": "t_num"}).withColumns({"n_tset": S.jaccard(F.col("q_n_toks"), F.col("t_n_toks")), "self_exact": F.lit(0), "cand_exact_s1": F.lit(0)})
+    return X.twin_features(x, 0.1).select("s1_id", "cand_id", "s1_num_support", "s1_hi_name_n", "cand_num_support", "twin_flag")
+
+
+@query(with_(*TOP3, f"SELECT p.q AS s1_id, p.t AS cand_id, len(list_filter(list_distinct(x.n_toks), lambda v: NOT list_contains(y.n_toks, v)))::INTEGER AS name_q_only, len(list_filter(list_distinct(y.n_toks), lambda v: NOT list_contains(x.n_toks, v)))::INTEGER AS name_t_only FROM pool p {BOTH}"))
+def compound_features(spark, d):
+    x = text_pairs(spark, d)
+    x = x.withColumns({f"{s}_numtoks": T.number_tokens(F.col(f"{s}_business_address")) for s in "qt"} | {f"{s}_unit": T.unit_number(F.col(f"{s}_business_address")) for s in "qt"} | {f"{s}_ntoks": F.array_distinct(f"{s}_n_toks") for s in "qt"})
+    return X.compound_features(x).select("s1_id", "cand_id", "name_q_only", "name_t_only")
+
+
+def sibling_input(spark, d):
+    x = text_pairs(spark, d).withColumnsRenamed({"q_a_num": "q_num", "t_a_num": "t_num"})
+    return X.sibling_pairs(x.withColumns({f"{s}_ntoks": F.array_distinct(f"{s}_n_toks") for s in "qt"}))
+
+
+SIB = f"sb AS (SELECT p.q AS s1_id, p.t AS cand_id, len(list_filter(list_distinct(y.n_toks), lambda v: NOT list_contains(x.n_toks, v))) AS a, len(list_filter(list_distinct(x.n_toks), lambda v: NOT list_contains(y.n_toks, v))) AS m, {INT_X} AS qi, {INT_Y} AS ti FROM pool p {BOTH}), sw AS (SELECT *, CASE WHEN a = 0 AND m = 0 THEN 'same' WHEN m = 0 THEN 'added' WHEN a = 0 THEN 'dropped' ELSE 'swapped' END AS words, CASE WHEN qi IS NULL OR ti IS NULL THEN 'none' WHEN qi = ti THEN 'equal' WHEN abs(qi - ti) <= 10 THEN 'near' ELSE 'far' END AS number FROM sb)"
+
+
+@query(with_(*TOP3, SIB, "SELECT s1_id, cand_id, a::INTEGER AS n_added, m::INTEGER AS n_missing, ti - qi AS num_offset FROM sw"))
+def sibling_pairs(spark, d):
+    return sibling_input(spark, d).select("s1_id", "cand_id", "n_added", "n_missing", "num_offset")
+
+
+@query(with_(*TOP3, SIB, "SELECT words || '/' || number || '/' || CASE WHEN g THEN 'anchor' ELSE 'free' END AS cell, count(*) AS n FROM (SELECT *, bool_or(words = 'same' AND number = 'equal') OVER (PARTITION BY s1_id) AS g FROM sw) GROUP BY 1"))
+def sibling_cells(spark, d):
+    return sibling_input(spark, d).groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(with_(*TOP3, f"SELECT p.q AS s1_id, p.t AS cand_id, sum((x.n_core = y.n_core)::INT) OVER (PARTITION BY p.t)::BIGINT AS owners_same_name, sum((x.n_core = y.n_core)::INT) OVER (PARTITION BY p.q)::BIGINT AS cands_same_name FROM pool p {BOTH} WHERE y.a_street = ''"))
+def empty_addr_signals(spark, d):
+    x = text_pairs(spark, d).withColumns({"t_a_empty": F.col("t_a_street") == "", "n_core_eq": F.col("q_n_core") == F.col("t_n_core")})
+    return X.empty_address_signals(x).select("s1_id", "cand_id", "owners_same_name", "cands_same_name")
+
+
+# --- texts, rules, diagnostics -----------------------------------------------------------------
+
+
+@query(with_(*TOP3, "SELECT p.q AS s1_id, p.t AS cand_id, substr(x.business_name || ' ; ' || x.business_address, 1, 400) AS a_txt, substr(y.business_name || ' ; ' || y.business_address, 1, 400) AS b_txt FROM pool p " + BOTH))
+def pair_text(spark, d):
+    pairs = B.pool_topk(stage1(spark, d), 3).select(F.col("q").alias("s1_id"), F.col("t").alias("cand_id"))
+    return L.pair_text(pairs, records(spark, d)).select("s1_id", "cand_id", "a_txt", "b_txt")
+
+
+@query()
+def pair_scorer(spark, d):
+    return L.pair_scorer(pair_text(spark, d), L.token_scorer).select("s1_id", "cand_id", F.round("ce", 6).alias("ce"))
+
+
+HASH = "('0x' || substr(md5(entity_id), 1, 8))::BIGINT"
+
+
+@query(with_(RECORDS, f"SELECT entity_id AS of_id, business_name || ' ' || ['group', 'north', 'plus'][({HASH} % 3 + 1)::INTEGER] AS business_name, regexp_replace(business_address, '^([^0-9]*)[0-9]+', '\\1' || (regexp_extract(business_address, '([0-9]+)', 1)::BIGINT + 2 + ({HASH} // 3) % 39)) AS business_address, country FROM records"))
+def synthetic_siblings(spark, d):
+    return L.synthetic_siblings(records(spark, d), ["group", "north", "plus"])
+
+
+def rule_pairs(spark, d):
+    return B.pool_topk(stage1(spark, d), 5).select(F.col("q").alias("s1_id"), F.col("t").alias("cand_id"), "country")
+
+
+@query()
+def vocab_swap(spark, d):
+    return rules.vocab_swap(rule_pairs(spark, d), records(spark, d), least=3, wide=2, extended=True)
+
+
+@query()
+def filler_swap(spark, d):
+    words = {c: ["the", "of", "le", "la", "de", "der", "die"] for c in ("en", "fr", "de", "es")}
+    return rules.filler_swap(rule_pairs(spark, d), records(spark, d), words)
+
+
+ADDED = f"ad AS (SELECT p.q AS s1_id, p.t AS cand_id, list_filter(list_distinct(y.n_toks), lambda v: NOT list_contains(x.n_toks, v)) AS added, (u.s1_id IS NOT NULL)::INTEGER AS y FROM pool p {BOTH} LEFT JOIN truth u ON u.s1_id = p.q AND u.cand_id = p.t)"
+
+
+def added_pairs(spark, d):
+    x = text_pairs(spark, d).withColumns({"q_toks": F.array_distinct("q_n_toks"), "t_toks": F.array_distinct("t_n_toks")})
+    return L.label_join(x.withColumn("added", F.array_except("t_toks", "q_toks")), record_truth(records(spark, d)))
+
+
+@query(with_(*TOP3, TRUTH, ADDED, "SELECT word, count(*) AS n, sum(y)::BIGINT AS true_n FROM (SELECT unnest(added) AS word, y FROM ad) GROUP BY 1"))
+def added_tokens(spark, d):
+    return E.added_tokens(added_pairs(spark, d))
+
+
+@query(with_(*TOP3, TRUTH, ADDED, "bad AS (SELECT word FROM (SELECT unnest(added) AS word, y FROM ad) GROUP BY 1 HAVING count(*) >= 3 AND avg(y) <= 0.01)", "hit AS (SELECT DISTINCT s1_id, cand_id FROM (SELECT s1_id, cand_id, unnest(added) AS word FROM ad) SEMI JOIN bad USING (word))", "SELECT a.s1_id, a.cand_id, round(CASE WHEN h.s1_id IS NOT NULL THEN 0.02 / 1.02 ELSE 0.5 END, 6)::DOUBLE AS p FROM ad a LEFT JOIN hit h ON h.s1_id = a.s1_id AND h.cand_id = a.cand_id"))
+def qualifier_veto(spark, d):
+    x = added_pairs(spark, d).withColumn("p", F.lit(0.5))
+    return rules.qualifier_veto(x, rules.zero_words(x, 3)).select("s1_id", "cand_id", F.round("p", 6).alias("p"))
+
+
+@query(with_(*TOP3, f"f AS (SELECT entity_id, {FORMS} AS f FROM recs)", "SELECT p.q AS s1_id, p.t AS cand_id, round(CASE WHEN len(x.f) > 0 AND len(y.f) > 0 AND len(list_intersect(x.f, y.f)) = 0 THEN 0.1 / 1.1 ELSE 0.5 END, 6)::DOUBLE AS p FROM pool p JOIN f x ON x.entity_id = p.q JOIN f y ON y.entity_id = p.t"))
+def legalform_penalty(spark, d):
+    x = text_pairs(spark, d).withColumns({f"{s}_forms": T.form_classes(F.col(f"{s}_n_full")) for s in "qt"} | {"p": F.lit(0.5)})
+    return rules.legalform_penalty(x).select("s1_id", "cand_id", F.round("p", 6).alias("p"))
+
+
+@query(with_(NORMAL, TRUTH, "SELECT r.country, r.n_core, count(*) AS n, count(DISTINCT u.s1_id) AS owners, count(*) FILTER (u.s1_id IS NULL) AS distractors FROM recs r LEFT JOIN truth u ON u.cand_id = r.entity_id WHERE r.entity_id NOT LIKE 'S1-%' GROUP BY 1, 2"))
+def ambiguity(spark, d):
+    _, t = sides(spark, d)
+    owners = record_truth(records(spark, d)).select(F.col("cand_id").alias("entity_id"), F.col("s1_id").alias("owner"))
+    return E.ambiguity(t.join(owners, "entity_id", "left"), ["country", "n_core"])
+
+
+@query(with_(NORMAL, "SELECT country, median(k)::DOUBLE AS median_k, max(k) AS max_k FROM (SELECT country, count(*) OVER (PARTITION BY country, n_core) AS k FROM recs) GROUP BY 1"))
+def name_multiplicity(spark, d):
+    return E.name_multiplicity(normal(spark, d))
+
+
+LISTS = [("S1-1", "S2-1,S3-2"), ("S1-1", ""), ("S1-2", "S2-1,S2-1"), ("S1-3", "S1-9,X-4"), ("S1-7", "S3-99")]
+
+
+@query("SELECT * FROM (VALUES ('duplicate_row', 'error', 'S1-1', ''), ('duplicate_id', 'error', 'S1-2', 'S2-1'), ('own_source_id', 'error', 'S1-3', 'S1-9'), ('wrong_prefix', 'error', 'S1-3', 'X-4'), ('missing_row', 'error', 'S1-4', ''), ('extra_row', 'error', 'S1-7', ''), ('unknown_id', 'error', 'S1-7', 'S3-99'), ('not_a_candidate', 'warning', 'S1-7', 'S3-99'), ('not_a_candidate', 'warning', 'S1-3', 'S1-9'), ('not_a_candidate', 'warning', 'S1-3', 'X-4')) AS t(rule, severity, id, detail)")
+def validate(spark, d):
+    lists = spark.createDataFrame(LISTS, "source1_entity_id string, matched_entity_ids string")
+    ids = spark.createDataFrame([(f"S1-{k}",) for k in (1, 2, 3, 4)], "s1_id string")
+    known = spark.createDataFrame([("S2-1",), ("S3-2",)], "entity_id string")
+    cands = spark.createDataFrame([("S1-1", "S2-1"), ("S1-1", "S3-2"), ("S1-2", "S2-1")], "s1_id string, cand_id string")
+    return E.validate(lists, ids, known=known, candidates=cands)
+
+
+@query()
+def io_tsv_roundtrip(spark, d):
+    """Records through a text table and back; the digest of the rows is the result."""
+    import tempfile
+
+    rows = records(spark, d).select("entity_id", F.regexp_replace("business_name", r"[\t\n\r]", " ").alias("business_name"), F.regexp_replace("business_address", r"[\t\n\r]", " ").alias("business_address"), "country")
+    folder = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='linkmill-')}"
+    import uuid
+
+    path = f"{folder.rstrip('/')}/linkmill/tsv-{uuid.uuid4().hex}"
+    rows.select(F.concat_ws("\t", *rows.columns).alias("value")).write.text(path)
+    lines = spark.read.text(path).select(F.split("value", "\t").alias("c"))
+    return files.content_digest(lines.select(*(F.get("c", F.lit(k)).alias(n) for k, n in enumerate(files.RECORDS.fieldNames()))))
