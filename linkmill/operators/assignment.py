@@ -56,20 +56,20 @@ def select_ef05(pairs: DataFrame, col: str = "p", recall_ceiling: float = 0.985,
 def exact_utility(p: np.ndarray, nodes: int = 64) -> np.ndarray:
     """Expected F0.5 of each prefix of independent candidates, the empty one first.
 
-    1 / (a + T) is the integral of x ** (a + T - 1), and the expectation of x ** T factors over the
-    candidates; Gauss-Legendre nodes integrate what remains.
+    1 / (T / 4 + k) is the integral of 4 u ** (T + 4 k - 1) over the unit interval, and the expectation
+    of u ** T factors over the candidates; Gauss-Legendre nodes integrate the polynomial exactly.
     """
     n = len(p)
     at, weight = np.polynomial.legendre.leggauss(nodes)
     x, weight = (at + 1) / 2, weight / 2
     out = np.empty(n + 1)
     out[0] = np.prod(1 - p)
-    factor = 1 - p[None, :] + p[None, :] * (x**0.25)[:, None]  # of x ** (T / 4)
+    factor = 1 - p[None, :] + p[None, :] * x[:, None]
     for k in range(1, n + 1):
         total = 0.0
         for i in range(k):
             rest = np.prod(np.delete(factor, i, axis=1), axis=1)
-            total += p[i] * 1.25 * (weight * rest * x ** (k + 0.25 - 1)).sum()
+            total += p[i] * 5 * (weight * rest * x ** (4 * k)).sum()
         out[k] = total
     return out
 

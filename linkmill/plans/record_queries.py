@@ -321,9 +321,18 @@ TOP3 = (*KEYED, INDEX, STAGE1, POOL.replace("600", "3"))
 BOTH = "JOIN recs x ON x.entity_id = p.q JOIN recs y ON y.entity_id = p.t"
 
 
+def plain(c: str):
+    """ASCII only: the SQL engine compares bytes."""
+    return F.regexp_replace(c, "[^a-z0-9 ]", "")
+
+
+PLAIN = "regexp_replace({}, '[^a-z0-9 ]', '', 'g')"
+
+
 def scorer_query(name: str, kind: str, sql: str | None) -> None:
     def f(spark: SparkSession, d: str) -> DataFrame:
-        x = text_pairs(spark, d).withColumn("s", S.scores({"v": (kind, F.col("q_n_nospace") if kind in ("jw",) else F.col("q_n_core"), F.col("t_n_nospace") if kind in ("jw",) else F.col("t_n_core"))}))
+        left, right = (plain(f"{s}_n_nospace") if kind == "jw" else F.col(f"{s}_n_core") for s in "qt")
+        x = text_pairs(spark, d).withColumn("s", S.scores({"v": (kind, left, right)}))
         return x.select("s1_id", "cand_id", F.round("s.v", 6).alias("v"))
 
     f.__name__ = name
@@ -332,12 +341,12 @@ def scorer_query(name: str, kind: str, sql: str | None) -> None:
 
 for _n, _kind in (("sim_ratio", "ratio"), ("sim_partial", "partial"), ("sim_tsort", "tsort"), ("sim_tset", "tset")):
     scorer_query(_n, _kind, None)
-scorer_query("sim_jw", "jw", with_(*TOP3, f"SELECT p.q AS s1_id, p.t AS cand_id, round(jaro_winkler_similarity(x.n_nospace, y.n_nospace), 6) AS v FROM pool p {BOTH}"))
+scorer_query("sim_jw", "jw", with_(*TOP3, f"SELECT p.q AS s1_id, p.t AS cand_id, round(jaro_winkler_similarity({PLAIN.format('x.n_nospace')}, {PLAIN.format('y.n_nospace')}), 6) AS v FROM pool p {BOTH}"))
 
 
-@query(with_(*TOP3, f"SELECT p.q AS s1_id, p.t AS cand_id, levenshtein(x.n_core, y.n_core)::INTEGER AS v FROM pool p {BOTH}"))
+@query(with_(*TOP3, f"SELECT p.q AS s1_id, p.t AS cand_id, levenshtein({PLAIN.format('x.n_core')}, {PLAIN.format('y.n_core')})::INTEGER AS v FROM pool p {BOTH}"))
 def sim_lev(spark, d):
-    return text_pairs(spark, d).select("s1_id", "cand_id", F.levenshtein("q_n_core", "t_n_core").alias("v"))
+    return text_pairs(spark, d).select("s1_id", "cand_id", F.levenshtein(plain("q_n_core"), plain("t_n_core")).alias("v"))
 
 
 @query(with_(*TOP3, f"SELECT p.q AS s1_id, p.t AS cand_id, round({JACCARD.format(a='x.n_toks', b='y.n_toks')}, 6) AS v FROM pool p {BOTH}"))
