@@ -88,3 +88,16 @@ def test_pairs_of_a_list_follow_the_bounds():
     got = {(int(i), int(j)) for a, b in J.list_pairs(size, place, label, 85) for i, j in zip(a, b, strict=True)}
     want = {(i, j) for i in range(60) for j in range(i + 1, 60) if 100 * size[i] >= 85 * size[j] and label[i] != label[j] and min(place[i], place[j]) + min(size[i] - place[i], size[j] - place[j]) >= J.needed(size[i], size[j], 85)}
     assert got == want
+
+
+def test_group_of_sets_that_link_in_part(spark, monkeypatch):
+    monkeypatch.setattr(J, "CHAIN", 4)
+    rnd = random.Random(8)
+    base = [f"b{i}" for i in range(60)]
+    docs = []
+    for i in range(120):
+        t = list(base)
+        for _ in range(rnd.randint(0, 4)):
+            t[rnd.randrange(60)] = f"x{rnd.randint(0, 3)}"
+        docs.append((i, " ".join(t)))
+    assert answers(spark, docs) == brute(docs)
