@@ -1,7 +1,8 @@
 """Connected components of links that never leave the executors.
 
-Links are first contracted within partitions by union-find, then by alternating large-star and
-small-star steps (Kiveris et al., 2014) until nothing changes. Minima are pre-aggregated before they
+Links are first contracted in blocks of at most a million, each to a forest of roots. If there is more
+than one block, alternating large-star and small-star steps (Kiveris et al., 2014) join the forests
+until nothing changes. Minima are pre-aggregated before they
 are shuffled, and a hub's links meet its minimum in a join whose skew Spark can split.
 """
 
@@ -17,6 +18,8 @@ from pyspark.sql import functions as F
 from linkmill.llm.runtime import drop_staged, staged
 
 ROUNDS = 40
+#: Links that one task contracts at once (16 bytes each).
+BLOCK = 1_000_000
 
 
 def contracted(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -50,7 +53,7 @@ def _local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held_u.append(np.asarray(batch["u"]))
         held_v.append(np.asarray(batch["v"]))
         size += batch.num_rows
-        if size >= 1_000_000:
+        if size >= BLOCK:
             yield flush()
     if size:
         yield flush()
@@ -72,7 +75,11 @@ def component_labels(links: DataFrame) -> DataFrame:
     """links: long columns u and v, in any direction. Returns node, label (the smallest node that it
     reaches) for the nodes that are not their own label. Links of a node with itself and nulls do nothing."""
     edges = links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    edges = staged(edges.mapInArrow(_local, "u long, v long"), "links")
+    raw = staged(edges, "links")
+    blocks = max(1, -(-raw.count() // BLOCK))
+    edges = staged(raw.coalesce(blocks).mapInArrow(_local, "u long, v long"), "links")
+    if blocks == 1:  # one forest: its roots are the smallest nodes
+        return edges.select(F.col("u").alias("node"), F.col("v").alias("label"))
 
     def state(df: DataFrame) -> tuple:
         return tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())

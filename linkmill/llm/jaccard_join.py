@@ -7,9 +7,11 @@ order is by hash, but shingles in many sets come last; which these are is counte
 
 * Index-level skipping: a shingle's list is sorted by set size and cut into blocks; a pair of blocks
   whose sizes, or whose places of the shingle in the sets, rule out the overlap is skipped whole.
-* Answer-level skipping: first each set meets only the smallest node of each list (the leader), and
-  what links is one component. Only pairs from different components are then looked at further. For
-  those the overlap of the two leaders is computed once; the overlap of two followers differs from
+* Answer-level skipping: first each set meets only the smallest node of each list (the leader), and in
+  long lists its neighbours in two orders that differ from list to list; what links is one component.
+  Only pairs from different components are then looked at further, so a large group of similar sets
+  costs a few comparisons per set and list, not per pair. For what is left
+  the overlap of the two leaders is computed once; the overlap of two followers differs from
   it by no more than what they differ from their leaders, which settles most pairs without their sets.
 * The overlap that the prefixes show, and what may come behind them, must reach the needed overlap.
 
@@ -37,9 +39,13 @@ from linkmill.llm.runtime import blobs, staged, text_buffer, text_chunks
 WORDS = 4
 PERCENT = 85
 #: A shingle in this many sets, or in this share of all of them, comes last in the order.
-HOT, HOT_SHARE = 16, 16_000
+HOT, HOT_SHARE = 8, 32_000
 #: Part of each set, in hash order, in which frequent shingles are looked for.
 SCOUT = 0.25
+#: Lists of so many nodes are also linked along chains before their pairs are made.
+CHAIN = 24
+#: Rows of lists of which a worker makes pairs at once.
+PART = 100_000
 #: Members of a block of a list.
 BLOCK = 256
 #: Nodes whose documents are found by a broadcast of their ids (16 bytes each); beyond it by a shuffle.
@@ -167,32 +173,53 @@ def list_pairs(size: np.ndarray, place: np.ndarray, label: np.ndarray, percent:
 
 
 def _crossed(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Pairs of nodes with different labels in lists that come sorted by token, size and node."""
-    names = ["token", "node", "size", "place", "label"]
+    """Pairs x < y of labels that meet in lists, which come sorted by token, size and node.
+
+    Only one member of each component in a list is paired. Between two components of one node each the
+    bounds on sizes and places are applied, and single says so; other pairs are told apart later on.
+    """
+    names = ["token", "node", "size", "place", "label", "alone"]
     held: list[list[np.ndarray]] = []
 
     def pairs(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        token, node, size, place, label = columns
+        token, _, size, place, label, alone = columns
         size, place = size.astype(np.int64), place.astype(np.int64)
         edge = np.append(np.flatnonzero(np.append(True, token[1:] != token[:-1])), len(token))
+        found: list[tuple[np.ndarray, ...]] = []
         for s, e in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
             if e - s < 2 or (label[s:e] == label[s]).all():
                 continue
-            for i, j in list_pairs(size[s:e], place[s:e], label[s:e], percent):
-                x, y = node[s:e][i], node[s:e][j]
-                swap = x > y
-                x, y, i, j = np.where(swap, y, x), np.where(swap, x, y), np.where(swap, j, i), np.where(swap, i, j)
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64()), pa.array(size[s:e][i], pa.int32()), pa.array(size[s:e][j], pa.int32())], names=["x", "y", "nx", "ny"])
-
+            one = np.flatnonzero(alone[s:e]) + s
+            for i, j in list_pairs(size[one], place[one], label[one], percent):
+                found.append((label[one][i], label[one][j], np.ones(len(i), bool)))
+            groups = np.unique(label[s:e][~alone[s:e]])
+            if len(groups):
+                every = np.concatenate([groups, label[one]])
+                for k, g in enumerate(groups):  # each component with the later ones and with all single nodes
+                    rest = every[k + 1 :]
+                    found.append((np.full(len(rest), g), rest, np.zeros(len(rest), bool)))
+        if found:
+            x, y, single = (np.concatenate(c) for c in zip(*found, strict=True))
+            x, y = np.minimum(x, y), np.maximum(x, y)
+            # What meets in several lists of this part leaves it once, with their number.
+            order = np.lexsort((y, x))
+            x, y, single = x[order], y[order], single[order]
+            first = np.flatnonzero(np.append(True, (x[1:] != x[:-1]) | (y[1:] != y[:-1])))
+            times = np.diff(np.append(first, len(x)))
+            yield pa.RecordBatch.from_arrays([pa.array(x[first], pa.int64()), pa.array(y[first], pa.int64()), pa.array(single[first]), pa.array(times, pa.int64())], names=["x", "y", "single", "times"])
+
+    size = 0
     for batch in batches:
         if not batch.num_rows:
             continue
         held.append([np.asarray(batch[c]) for c in names])
-        if held[0][0][0] != held[-1][0][-1]:
+        size += batch.num_rows
+        if size >= PART and held[0][0][0] != held[-1][0][-1]:
             columns = [np.concatenate(c) for c in zip(*held, strict=True)]
             stop = len(columns[0]) - int((columns[0] == columns[0][-1]).sum())
             yield from pairs([c[:stop] for c in columns])
             held = [[c[stop:] for c in columns]]
+            size = len(held[0][0])
     if held:
         yield from pairs([np.concatenate(c) for c in zip(*held, strict=True)])
 
@@ -242,7 +269,7 @@ class JaccardJoin:
         least = max(HOT, self.named.count() // HOT_SHARE)
         # At most HOT_SHARE times the mean set size of these, however many documents there are.
         hot = scouted.groupBy("token").agg(F.sum("times").alias("times")).where(F.col("times") >= least).select("token")
-        hot = np.sort(np.array([r.token for r in hot.collect()], dtype=np.int64).view(np.uint64))
+        hot = np.sort(np.asarray(hot.toArrow()["token"]).astype(np.int64).view(np.uint64))
         sent = self.texts.sparkSession.sparkContext.broadcast(hot)
         rows = self.texts.mapInArrow(lambda b: _prefixes(b, words, percent, sent.value), "token long, node long, size int, place int")
         w = Window.partitionBy("token")
@@ -264,6 +291,28 @@ class JaccardJoin:
         rows = rows.join(sets.select(F.col("node").alias("x"), F.col("members").alias("members_x")), "x")
         return rows.mapInArrow(_overlaps, "x long, y long, nx int, ny int, both long")
 
+    def chained(self, rows: DataFrame, turn: int) -> DataFrame:
+        """Neighbours x < y with different labels in long lists, ordered by a hash of node and list."""
+        w = Window.partitionBy("token")
+        mixed_ = rows.withColumns({"many": F.count(F.lit(1)).over(w), "low": F.min("label").over(w), "high": F.max("label").over(w)}).where((F.col("many") >= CHAIN) & (F.col("low") != F.col("high")))
+        before = F.lag(F.struct("node", "size", "label")).over(w.orderBy(F.xxhash64("node", "token", F.lit(turn)), "node"))
+        pairs = mixed_.withColumn("p", before).where("p.label <> label")
+        a, b = F.struct(F.col("p.node").alias("node"), F.col("p.size").alias("size")), F.struct("node", "size")
+        pairs = pairs.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
+        pairs = pairs.select(F.col("a.node").alias("x"), F.col("b.node").alias("y"), F.col("a.size").alias("nx"), F.col("b.size").alias("ny")).where("x <> y").distinct()
+        return pairs.where(self.enough(F.least("nx", "ny"), F.col("nx"), F.col("ny")))
+
+    def overlaps_of(self, pairs: DataFrame, name: str) -> DataFrame:
+        held = staged(pairs, name)
+        return self.overlaps(held, self.sets(held))
+
+    def verified(self, pairs: DataFrame, name: str) -> DataFrame:
+        return staged(self.overlaps_of(pairs, name).where(self.enough(F.col("both"), F.col("nx"), F.col("ny"))), "followers")
+
+    def labelled(self, lists: DataFrame, links: DataFrame) -> DataFrame:
+        rows = lists.join(component_labels(links), "node", "left").withColumn("label", F.coalesce("label", "node"))
+        return rows.select("token", "node", "size", "place", "label").distinct()
+
     def links(self) -> tuple[DataFrame, DataFrame]:
         """Links u, v that connect the components, and the label of each node that has one."""
         lists = self.lists()
@@ -272,36 +321,53 @@ class JaccardJoin:
         led = lists.where("node <> leader").select("token", "node", "leader", "size").distinct().groupBy("leader", "node").agg(F.count(F.lit(1)).alias("times"), F.first("size").alias("ny"))
         led = led.join(size.select(F.col("node").alias("leader"), F.col("size").alias("nx")), "leader")
         led = led.where(self.possible(F.col("times"), F.col("nx"), F.col("ny")) & self.enough(F.least("nx", "ny"), F.col("nx"), F.col("ny")))
-        led = staged(led.select(F.col("leader").alias("x"), F.col("node").alias("y"), "nx", "ny"), "led")
-        first = staged(self.overlaps(led, self.sets(led)).where(self.enough(F.col("both"), F.col("nx"), F.col("ny"))), "followers")
+        led = led.select(F.col("leader").alias("x"), F.col("node").alias("y"), "nx", "ny")
+        plain_rows = lists.select("token", "node", "size", F.col("node").alias("label")).distinct()
+        first = self.verified(led.unionByName(self.chained(plain_rows, 1)).distinct(), "led")
+        again = self.verified(self.chained(self.labelled(lists, first.select(F.col("x").alias("u"), F.col("y").alias("v"))), 2), "led")
+        first = first.unionByName(again)
         links = first.select(F.col("x").alias("u"), F.col("y").alias("v"))
-        labels = component_labels(links)
-        # Pairs from different components, with the number of shingles their prefixes share.
-        rows = lists.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        rows = rows.select("token", "node", "size", "place", "label").distinct()
+        # Components by their smallest node, and what each member has besides it and lacks of it.
+        labels = staged(component_labels(links), "labels")
+        size_of = size.select("node", "size")
+        follow = labels.join(size_of, "node").join(size_of.select(F.col("node").alias("label"), F.col("size").alias("nx")), "label")
+        follow = self.overlaps_of(follow.select(F.col("label").alias("x"), F.col("node").alias("y"), "nx", F.col("size").alias("ny")), "members-of")
+        follow = follow.select(F.col("x").alias("label"), F.col("y").alias("node"), F.col("ny").alias("size"), (F.col("ny") - F.col("both")).alias("more"))
+        heads_of = labels.select("label").distinct()
+        leaders = heads_of.join(size_of.withColumnRenamed("node", "label"), "label").select("label", F.col("label").alias("node"), "size", F.lit(0).cast("long").alias("more"))
+        member = staged(follow.unionByName(leaders), "member")
+        # Pairs of components that meet in a list.
+        rows = self.labelled(lists, links).join(heads_of.withColumn("grouped", F.lit(True)), "label", "left").withColumn("alone", F.col("grouped").isNull()).drop("grouped")
         percent = self.percent
-        pairs = rows.repartition("token").sortWithinPartitions("token", "size", "node").mapInArrow(lambda b: _crossed(b, percent), "x long, y long, nx int, ny int")
-        pairs = pairs.groupBy("x", "y").agg(F.count(F.lit(1)).alias("times"), F.first("nx").alias("nx"), F.first("ny").alias("ny"))
-        pairs = staged(pairs.where(self.possible(F.col("times"), F.col("nx"), F.col("ny"))).drop("times"), "crossed")
-        # What each follower has besides its leader, and lacks of it.
-        best = first.groupBy(F.col("y").alias("node")).agg(F.max_by(F.struct(F.col("x").alias("by"), (F.col("ny") - F.col("both")).alias("more"), (F.col("nx") - F.col("both")).alias("less")), F.struct("both", "x")).alias("f"))
-
-        def side(name: str) -> DataFrame:
-            return best.select(F.col("node").alias(name), F.col("f.by").alias(f"{name}_by"), F.col("f.more").alias(f"{name}_more"), F.col("f.less").alias(f"{name}_less"))
-
-        tied = pairs.join(side("x"), "x", "left").join(side("y"), "y", "left")
-        tied = tied.withColumns({f"{s}_{c}": F.coalesce(f"{s}_{c}", F.col(s) if c == "by" else F.lit(0)) for s in "xy" for c in ("by", "more", "less")})
-        tied = staged(tied, "tied")
-        plain = F.struct(F.least("x_by", "y_by").alias("x"), F.greatest("x_by", "y_by").alias("y"))
-        heads = tied.where("x_by <> y_by and (x_by <> x or y_by <> y)").select(plain.alias("h")).distinct().select("h.x", "h.y")
-        heads = heads.join(size.select(F.col("node").alias("x"), F.col("size").alias("nx")), "x").join(size.select(F.col("node").alias("y"), F.col("size").alias("ny")), "y")
-        every = self.sets(pairs.select("x", "y").unionByName(heads.select("x", "y")))
-        known = self.overlaps(heads.select("x", "y", "nx", "ny"), every).select(F.struct("x", "y").alias("h"), "both")
-        bound = tied.withColumn("h", plain).join(known, "h", "left")
-        low, high = F.col("both") - F.col("x_less") - F.col("y_less"), F.col("both") + F.col("x_more") + F.col("y_more")
-        bound = staged(bound.withColumn("says", F.when(self.enough(low, F.col("nx"), F.col("ny")), 1).when(~self.enough(high, F.col("nx"), F.col("ny")), 0)).select("x", "y", "nx", "ny", "says"), "bound")
-        verified = self.overlaps(bound.where("says is null").drop("says"), every).where(self.enough(F.col("both"), F.col("nx"), F.col("ny")))
-        more = bound.where("says = 1").select("x", "y").unionByName(verified.select("x", "y")).select(F.col("x").alias("u"), F.col("y").alias("v"))
+        met = rows.select("token", "node", "size", "place", "label", "alone").repartition("token").sortWithinPartitions("token", "size", "node")
+        met = met.mapInArrow(lambda b: _crossed(b, percent), "x long, y long, single boolean, times long")
+        met = met.groupBy("x", "y").agg(F.max("single").alias("single"), F.sum("times").alias("times"))
+        met = met.join(size_of.select(F.col("node").alias("x"), F.col("size").alias("nx")), "x").join(size_of.select(F.col("node").alias("y"), F.col("size").alias("ny")), "y")
+        met = staged(met.where(~F.col("single") | self.possible(F.col("times"), F.col("nx"), F.col("ny"))).drop("times"), "crossed")
+        known = staged(self.overlaps_of(met.drop("single"), "heads").join(met.select("x", "y", "single"), ["x", "y"]), "heads")
+        linked_heads = known.where(self.enough(F.col("both"), F.col("nx"), F.col("ny")))
+        # Members of components whose leaders do not link: the overlap of two members exceeds that of
+        # their leaders by no more than what they have besides them.
+        open_ = known.where(~self.enough(F.col("both"), F.col("nx"), F.col("ny")) & ~F.col("single")).select("x", "y", "nx", "ny", "both")
+        single = open_.select(F.explode(F.array(F.struct(F.col("x").alias("l"), F.col("nx").alias("n")), F.struct(F.col("y").alias("l"), F.col("ny").alias("n")))).alias("e")).select("e.l", "e.n").distinct()
+        single = single.join(heads_of.withColumnRenamed("label", "l"), "l", "left_anti").select(F.col("l").alias("label"), F.col("l").alias("node"), F.col("n").alias("size"), F.lit(0).cast("long").alias("more"))
+        every = member.unionByName(single)
+        most = every.groupBy("label").agg(F.max("more").alias("most"), F.min("size").alias("least"), F.max("size").alias("largest"))
+
+        def side(df: DataFrame, s: str) -> DataFrame:
+            return df.select(F.col("label").alias(s), *(F.col(c).alias(f"{s}_{c}") for c in df.columns if c != "label"))
+
+        def could(more, n, m):
+            """May sets of n and m shingles reach the overlap, with so much more than the leaders'?"""
+            return self.enough(F.least(F.col("both") + more, n, m), n, m)
+
+        left, right = side(every, "x"), side(every, "y")
+        fits = (F.lit(100) * F.col("x_size") >= F.lit(self.percent) * F.col("y_least")) & (F.lit(100) * F.col("y_largest") >= F.lit(self.percent) * F.col("x_size"))
+        half = open_.join(side(most, "y"), "y").join(left, "x").where(fits & could(F.col("x_more") + F.col("y_most"), F.col("x_size"), F.greatest("y_least", F.ceil(F.col("x_size") * self.percent / 100))))
+        pairs = half.join(right, "y").where(could(F.col("x_more") + F.col("y_more"), F.col("x_size"), F.col("y_size")))
+        pairs = pairs.select(F.col("x_node").alias("x"), F.col("y_node").alias("y"), F.col("x_size").alias("nx"), F.col("y_size").alias("ny")).where(self.enough(F.least("nx", "ny"), F.col("nx"), F.col("ny"))).distinct()
+        verified = self.overlaps_of(pairs, "verified").where(self.enough(F.col("both"), F.col("nx"), F.col("ny")))
+        more = linked_heads.select("x", "y").unionByName(verified.select("x", "y")).select(F.col("x").alias("u"), F.col("y").alias("v"))
         all_links = staged(links.unionByName(more), "all-links")
         return all_links, component_labels(all_links)
 

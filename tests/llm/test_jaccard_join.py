@@ -73,7 +73,9 @@ def test_empty_and_null_rows(spark):
     assert sorted((r.doc_id or -1, r.n_shingles, r.component_id) for r in got) == [(-1, 3, None), (2, 3, 2), (2, 3, 2), (3, 3, 2)]
 
 
-def test_components_of_chains_and_hubs(spark):
+@pytest.mark.parametrize("block", [1_000_000, 7])
+def test_components_of_chains_and_hubs(spark, monkeypatch, block):
+    monkeypatch.setattr(C, "BLOCK", block)
     links = [(i, i + 1) for i in range(50)] + [(100, k) for k in range(101, 140)] + [(7, 7), (None, 3)]
     df = spark.createDataFrame(links, "u long, v long").repartition(7)
     got = {r.node: r.label for r in C.component_labels(df).collect()}
