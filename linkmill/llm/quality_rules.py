@@ -36,32 +36,35 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), "[\\x20\\x09-\\x0D]+"), "")
 
 
+def word_hashes(words: Column) -> Column:
+    return F.transform(words, lambda w: F.xxhash64(w))
+
+
+def joined(left: Column, right: Column, skip: int) -> Column:
+    """A hash of each element of ``left`` with the one of ``right`` that lies ``skip`` places on."""
+    n = F.size(right) - skip
+    return F.when(n > 0, F.zip_with(F.slice(left, F.lit(1), n), F.slice(right, skip + 1, n), lambda x, y: F.xxhash64(x, y))).otherwise(F.array().cast("array<bigint>"))
+
+
 def buckets_of(words: Column, buckets: int) -> Column:
     """The bucket of each word and of each pair of neighbours."""
-    single = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(buckets)).cast("int"))
-    n = F.size(words)
-    pairs = F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.pmod(F.xxhash64(F.element_at(words, i), F.element_at(words, i + 1)), F.lit(buckets)).cast("int"))
-    return F.when(n > 1, F.concat(single, pairs)).otherwise(single)
-
+    hashes = word_hashes(words)
+    return F.transform(F.concat(hashes, joined(hashes, hashes, 1)), lambda h: F.pmod(h, F.lit(buckets)).cast("int"))
 
-def repeated_words(df: DataFrame, words: str, out: str) -> DataFrame:
-    """Words in windows of ``WINDOW`` words that stand in the text twice or more, the first included."""
-    n = F.size(words)
 
-    def window(i: Column) -> Column:
-        return F.struct(F.xxhash64(*(F.element_at(F.col(words), i + k) for k in range(WINDOW))).alias("h"), i.alias("i"))
+def covered_words(windows: Column) -> Column:
+    """Words in windows of ``WINDOW`` words whose hash stands among ``windows`` twice or more."""
+    listed = F.array_sort(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
 
-    found = F.when(n >= WINDOW, F.array_sort(F.transform(F.sequence(F.lit(1), n - (WINDOW - 1)), window))).otherwise(F.array().cast("array<struct<h:bigint,i:int>>"))
-    df = held(df, "_windows", found)
-    w = F.col("_windows")
+    def twice(all_: Column) -> Column:
+        return F.filter(all_, lambda x, k: F.get(all_, k + 1)["h"].eqNullSafe(x["h"]) | ((k > 0) & F.get(all_, k - 1)["h"].eqNullSafe(x["h"])))
 
-    def twice(x: Column, k: Column) -> Column:
-        return (F.get(w, k + 1)["h"].eqNullSafe(x["h"])) | ((k > 0) & F.get(w, k - 1)["h"].eqNullSafe(x["h"]))
+    def spread(at: Column) -> Column:
+        return F.aggregate(F.transform(at, lambda x, k: F.least(F.lit(WINDOW), F.coalesce(F.get(at, k + 1) - x, F.lit(WINDOW)))), F.lit(0).cast("long"), lambda n, x: n + x)
 
-    df = held(df, "_at", F.array_sort(F.transform(F.filter(w, twice), lambda x: x["i"])))
-    at = F.col("_at")
-    covered = F.transform(at, lambda x, k: F.least(F.lit(WINDOW), F.coalesce(F.get(at, k + 1) - x, F.lit(WINDOW))))
-    return df.withColumn(out, F.aggregate(covered, F.lit(0).cast("long"), lambda s, x: s + x)).drop("_windows", "_at")
+    # A list of one element carries each step's result into the next, so that it is computed once.
+    steps = F.transform(F.transform(F.array(listed), twice), lambda t: F.array_sort(F.transform(t, lambda x: x["i"])))
+    return F.element_at(F.transform(steps, spread), 1)
 
 
 def ratio_model(texts: DataFrame, labels: DataFrame, buckets: int, smoothing: float, trusted: int) -> DataFrame:
@@ -97,20 +100,28 @@ def judged(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_c
     model = staged(ratio_model(rows.select("doc_id", "text"), labels, buckets, smoothing, trusted), "ratios")
     rows = held(rows, "words", words_of(F.col("text")))
     text, words = F.coalesce("text", F.lit("")), F.col("words")
-    rows = held(rows, "lines", F.filter(F.split(text, "\n"), lambda line: F.translate(line, WHITE, "") != ""))
+    rows = held(rows, "lines", F.filter(F.split(text, "\n"), lambda line: F.btrim(line, F.lit(WHITE)) != ""))
     rows = rows.withColumns(
         {
             "n_words": F.size(words).cast("long"),
-            "word_chars": F.char_length(F.translate(text, WHITE, "")).cast("long"),
+            "word_chars": F.char_length(F.array_join("words", "")).cast("long"),
             "n_symbols": (F.char_length(text) - F.char_length(F.translate(text, SYMBOLS, ""))).cast("long"),
             "n_dup_lines": (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long"),
         }
     ).drop("lines", "text")
-    rows = repeated_words(rows, "words", "n_repeat_words")
-    rows = held(rows, "found", buckets_of(words, buckets))
+    rows = held(rows, "one", word_hashes(words)).drop("words")
+    rows = held(rows, "two", joined(F.col("one"), F.col("one"), 1))
+    rows = held(rows, "windows", joined(joined(F.col("two"), F.col("two"), 2), F.col("one"), WINDOW - 1))
+    # Most texts repeat no window; only the others are looked at closely.
+    repeats = F.size(F.array_distinct("windows")) < F.size("windows")
+    rows = rows.withColumn("n_repeat_words", F.when(repeats, covered_words(F.col("windows"))).otherwise(F.lit(0).cast("long")))
     rows = rows.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words")))
-    rows = held(rows.withColumn("model", model.scalar()), "total", F.aggregate("found", F.lit(0.0), lambda s, b: s + F.get("model", b)))
-    rows = rows.withColumn("score", F.when(F.size("found") > 0, F.round(F.col("total") / F.size("found"), 9)).otherwise(F.lit(0.0)))
+    rows = rows.withColumn("grams", F.size("one") + F.size("two"))
+    # One reference, so that the optimizer puts the array where it is used instead of into every row.
+    rows = rows.withColumn("ratios", model.scalar())
+    total = F.aggregate(F.concat("one", "two"), F.lit(0.0), lambda s, h: s + F.get("ratios", F.pmod(h, F.lit(buckets)).cast("int")))
+    rows = rows.select("row", "grams", *(c for c in RULES if c not in ("score", "kept")), total.alias("total"))
+    rows = rows.withColumn("score", F.when(F.col("grams") > 0, F.round(F.col("total") / F.col("grams"), 9)).otherwise(F.lit(0.0)))
     return rows.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold)).select("row", *RULES)
 
 
