@@ -37,6 +37,8 @@ TABLES, FUNCTIONS, PROBES, SEED = 8, 2, 2, 1
 #: Mean number of classes in a bucket beyond which another function is added, and four tables with it.
 BUCKET = 256
 BLOCK = 1024
+#: Rows of a group that are multiplied with all of it at once; bounds the pairs held.
+STEP = 64
 
 
 def signs(size: int, table: int, function: int, turn: int, seed: int) -> np.ndarray:
@@ -132,8 +134,8 @@ def group_links(ids, vectors, codes, own, side, at: int, bucket: int, cosine: fl
     """Index pairs of one group that link and are counted here. side: the block of each member (0, 1; 2 both)."""
     found_i, found_j = [], []
     n = len(ids)
-    for s in range(0, n, BLOCK):
-        product = vectors[s : s + BLOCK] @ vectors.T
+    for s in range(0, n, STEP):
+        product = vectors[s : s + STEP] @ vectors.T
         i, j = np.nonzero(product >= cosine)
         i += s
         # Each pair once: by id; of two blocks only pairs across them; not two that are probed here.
