@@ -194,9 +194,9 @@ def stage1(spark, d):
     return B.stage1_pairs(B.record_keys(q), B.record_keys(t))
 
 
-@query(with_(*KEYED, INDEX, STAGE1, "SELECT q, t, round(bscore, 3) AS bscore, kbits FROM stage1"))
+@query(with_(*KEYED, INDEX, STAGE1, "SELECT q, t, bscore, kbits FROM stage1"))
 def stage1_pairs(spark, d):
-    return stage1(spark, d).select("q", "t", F.round("bscore", 3).alias("bscore"), "kbits")
+    return stage1(spark, d).select("q", "t", "bscore", "kbits")
 
 
 POOL = "pool AS (SELECT * EXCLUDE r FROM (SELECT *, row_number() OVER (PARTITION BY country, q ORDER BY bscore DESC, t) AS r FROM stage1) WHERE r <= 600)"
@@ -229,16 +229,16 @@ def pair_similarity(spark, d):
     return B.pair_similarity(pool, q, t).select("q", "t", F.round("sim_n", 6).alias("sim_n"), F.round("sim_a", 6).alias("sim_a"))
 
 
-@query(with_(*CHAIN[:-1], "SELECT q, t, round(sim_n, 6) AS sim_n, round(sim_a, 6) AS sim_a, round(rscore, 3) AS rscore FROM resc"))
+@query(with_(*CHAIN[:-1], "SELECT q, t, round(sim_n, 6) AS sim_n, round(sim_a, 6) AS sim_a, rscore FROM resc"))
 def rerank_score(spark, d):
     q, t = sides(spark, d)
     x = B.plain_similarity(B.pool_topk(stage1(spark, d)), q, t).withColumn("rscore", B.rerank_score())
-    return x.select("q", "t", *(F.round(c, 6).alias(c) for c in ("sim_n", "sim_a")), F.round("rscore", 3).alias("rscore"))
+    return x.select("q", "t", *(F.round(c, 6).alias(c) for c in ("sim_n", "sim_a")), "rscore")
 
 
-@query(with_(*CHAIN, "SELECT q, t, round(rscore, 3) AS rscore, brank FROM cands"))
+@query(with_(*CHAIN, "SELECT q, t, rscore, brank FROM cands"))
 def generate_candidates(spark, d):
-    return candidates(spark, d).select("q", "t", F.round("rscore", 3).alias("rscore"), "brank")
+    return candidates(spark, d).select("q", "t", "rscore", "brank")
 
 
 def truth(spark, d):
@@ -261,10 +261,10 @@ def retrieval_buckets(spark, d):
 GRAMS = "grams AS (SELECT entity_id, country, unnest(list_distinct(list_transform(range(1, length(n_nospace) - 1), lambda i: substr(n_nospace, i, 3)))) AS key FROM recs WHERE length(n_nospace) >= 3)"
 
 
-@query(with_(NORMAL, GRAMS, "ix AS (SELECT country, key, count(*) AS df FROM grams WHERE entity_id NOT LIKE 'S1-%' GROUP BY 1, 2 HAVING count(*) <= 200)", "sc AS (SELECT q.country, q.entity_id AS q, t.entity_id AS t, round(sum(1 / log2(df + 1)), 4) AS score FROM grams q JOIN grams t ON q.country = t.country AND q.key = t.key JOIN ix ON ix.country = t.country AND ix.key = t.key WHERE q.entity_id LIKE 'S1-%' AND t.entity_id NOT LIKE 'S1-%' GROUP BY 1, 2, 3)", "SELECT q, t, round(score, 3) AS score FROM (SELECT *, row_number() OVER (PARTITION BY country, q ORDER BY score DESC, t) AS r FROM sc) WHERE r <= 5"))
+@query(with_(NORMAL, GRAMS, "ix AS (SELECT country, key, count(*) AS df FROM grams WHERE entity_id NOT LIKE 'S1-%' GROUP BY 1, 2 HAVING count(*) <= 200)", "sc AS (SELECT q.country, q.entity_id AS q, t.entity_id AS t, round(sum(1 / log2(df + 1)), 4) AS score FROM grams q JOIN grams t ON q.country = t.country AND q.key = t.key JOIN ix ON ix.country = t.country AND ix.key = t.key WHERE q.entity_id LIKE 'S1-%' AND t.entity_id NOT LIKE 'S1-%' GROUP BY 1, 2, 3)", "SELECT q, t, score FROM (SELECT *, row_number() OVER (PARTITION BY country, q ORDER BY score DESC, t) AS r FROM sc) WHERE r <= 5"))
 def trigram_route(spark, d):
     q, t = sides(spark, d)
-    return B.trigram_route(q, t, 200, 5).select("q", "t", F.round("score", 3).alias("score"))
+    return B.trigram_route(q, t, 200, 5).select("q", "t", "score")
 
 
 @query(with_(*CHAIN, "nm AS (SELECT entity_id AS t, country, n_nospace AS k FROM recs WHERE n_nospace <> '' AND entity_id NOT LIKE 'S1-%')", "SELECT DISTINCT c.country, c.q, o.t FROM cands c JOIN nm n ON n.t = c.t AND n.country = c.country JOIN nm o ON o.k = n.k AND o.country = n.country WHERE NOT EXISTS (SELECT 1 FROM cands z WHERE z.q = c.q AND z.t = o.t)"))
@@ -278,9 +278,9 @@ def anchor_bridge(spark, d):
     return B.anchor_bridge(*sides(spark, d))
 
 
-@query(with_(NORMAL, FIVE, f"keys AS (SELECT entity_id, country, 'AN' AS ktype, key FROM ({KEY_SQL['AN']}))", INDEX.replace("'AN': 300", "'AN': 40"), STAGE1, "SELECT country, t, q, round(bscore, 3) AS bscore FROM (SELECT *, row_number() OVER (PARTITION BY country, t ORDER BY bscore DESC, q) AS r FROM stage1) WHERE r = 1"))
+@query(with_(NORMAL, FIVE, f"keys AS (SELECT entity_id, country, 'AN' AS ktype, key FROM ({KEY_SQL['AN']}))", INDEX.replace("'AN': 300", "'AN': 40"), STAGE1, "SELECT country, t, q, bscore FROM (SELECT *, row_number() OVER (PARTITION BY country, t ORDER BY bscore DESC, q) AS r FROM stage1) WHERE r = 1"))
 def brand_assign(spark, d):
-    return B.brand_assign(*sides(spark, d)).select("country", "t", "q", F.round("bscore", 3).alias("bscore"))
+    return B.brand_assign(*sides(spark, d)).select("country", "t", "q", "bscore")
 
 
 @query()
