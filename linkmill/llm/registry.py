@@ -41,7 +41,7 @@ def op6_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), fallback=True)
 
 
 def op8_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:

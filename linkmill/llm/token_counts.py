@@ -6,6 +6,10 @@ that in one pass: a trie of all entries with a failure link for each node, along
 on when the next character has no edge, and the number of pieces that taking the link has settled.
 Only these counts are kept, so no piece is ever built. A worker remembers the counts of words.
 
+With ``fallback`` the whole model takes part: where no entry begins a word, the lone word mark is a piece
+of its own and entries that continue words follow it, and a character that no entry covers counts as its
+UTF-8 bytes. A word is unknown then only if the model lacks these pieces.
+
 Defined results: null or empty text has no words and no tokens; texts are read whole, without a limit
 on word length; null ids and repeated rows are counted like others; other columns take no part.
 """
@@ -30,9 +34,12 @@ START, INNER, NONE = 0, 1, -1
 
 
 class Automaton:
-    """starts: entries that may begin a word; inners: entries that may continue one."""
+    """starts: entries that may begin a word; inners: entries that may continue one.
+
+    mark: pieces of a lone word mark, 0 if it is none; spelled: characters outside the entries count as their bytes.
+    """
 
-    def __init__(self, starts: Iterable[str], inners: Iterable[str]):
+    def __init__(self, starts: Iterable[str], inners: Iterable[str], mark: int = 0, spelled: bool = False):
         self.edge: list[dict[str, int]] = [{}, {}]
         entry = [False, False]
         for root, words in ((START, starts), (INNER, inners)):
@@ -48,6 +55,9 @@ class Automaton:
                 if word:
                     entry[at] = True
         self.link, self.popped = [NONE] * len(self.edge), [0] * len(self.edge)
+        self.spelled = spelled
+        if mark:
+            self.link[START], self.popped[START] = INNER, mark
         queue = deque((START, INNER))
         while queue:
             parent = queue.popleft()
@@ -61,6 +71,8 @@ class Automaton:
                     at, popped = self.link[at], popped + self.popped[at]
                 if at != NONE:
                     self.link[node], self.popped[node] = self.edge[at][c], popped
+                elif spelled and (mark or parent != START):
+                    self.link[node], self.popped[node] = INNER, popped + len(c.encode())
 
     def count(self, word: str) -> int:
         """Pieces of a word, or 0 if it cannot be covered."""
@@ -69,7 +81,10 @@ class Automaton:
         for c in word:
             while (to := edge[at].get(c)) is None:
                 if link[at] == NONE:
-                    return 0
+                    if at != INNER or not self.spelled:
+                        return 0
+                    pieces, to = pieces + len(c.encode()), INNER
+                    break
                 pieces += popped[at]
                 at = link[at]
             at = to
@@ -105,13 +120,24 @@ def vocabulary(path: str) -> tuple[list[str], list[str]]:
     return [p[1:] for p in plain if p[0] == "▁" and len(p) > 1], [p for p in plain if "▁" not in p]
 
 
+def whole_vocabulary(path: str) -> tuple[list[str], list[str], int, bool]:
+    """The arguments of an automaton of all pieces; those with a word mark also match a mark that stands in a text."""
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    starts, inners = vocabulary(path)
+    lone = not model.is_unknown(model.piece_to_id("▁"))
+    spelled = sum(model.is_byte(i) for i in range(model.get_piece_size())) == 256
+    return starts, [*inners, *(f"▁{p}" for p in starts), *["▁"] * lone], 1 if lone else len("▁".encode()) * spelled, spelled
+
+
 @functools.lru_cache(maxsize=2)
-def counts(path: str) -> Counts:
-    return Counts(Automaton(*vocabulary(path)))
+def counts(path: str, fallback: bool = False) -> Counts:
+    return Counts(Automaton(*(whole_vocabulary if fallback else vocabulary)(path)))
 
 
-def _counted(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
-    known = counts(path)
+def _counted(batches: Iterator[pa.RecordBatch], path: str, fallback: bool) -> Iterator[pa.RecordBatch]:
+    known = counts(path, fallback)
     get = known.__getitem__
     for batch in batches:
         for chunk in text_chunks(batch):
@@ -126,7 +152,7 @@ def _counted(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.Record
             )
 
 
-def token_counts(docs: DataFrame, model_path: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def token_counts(docs: DataFrame, model_path: str, *, id_col: str = "doc_id", text_col: str = "text", fallback: bool = False) -> DataFrame:
     """doc_id, n_words, n_tokens (unknown words are one each) and n_unknown of every whole text."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(lambda batches: _counted(batches, model_path), "doc_id long, n_words long, n_tokens long, n_unknown long")
+    return rows.mapInArrow(lambda batches: _counted(batches, model_path, fallback), "doc_id long, n_words long, n_tokens long, n_unknown long")
