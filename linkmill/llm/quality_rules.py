@@ -6,9 +6,10 @@ good) and the raw corpus (all documents). A document's score is the mean, over i
 n-grams, of the log of the ratio of the two smoothed probabilities. A document is kept if it passes
 the base rules and its score is at least ``threshold``; nothing is drawn at random.
 
-The raw counts cover all documents. The target is a sample of at most ``trusted`` labelled documents,
-those whose ids have the smallest hashes, so its ids can be broadcast. The model is one array of
-``buckets`` numbers, whatever the size of the corpus. Texts are never shuffled.
+The raw counts cover all documents, the target all documents labelled good. Their ids become one mask for
+each block of 64 ids, 1 bit an id where ids are dense. Up to ``SENT`` masks are sent to all workers and texts
+are not shuffled; more are joined by salted keys, so that rows without an id or with the same one are dealt
+out too, and texts are shuffled once. The model is one array of ``buckets`` numbers, whatever the size of the corpus.
 
 Defined results: null text is no words and fails the base rules; null ids and repeated rows are
 judged like any others; without labels or documents the ratio is 0 throughout; an empty table gives
@@ -24,7 +25,9 @@ from pyspark.sql import functions as F
 WHITE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS, WINDOW, REPEAT_PERCENT = 10, 5, 20
-BUCKETS, SMOOTHING, TRUSTED, THRESHOLD = 1 << 18, 4.0, 20_000, -0.20
+BUCKETS, SMOOTHING, THRESHOLD = 1 << 18, 4.0, -0.20
+#: Masks of 64 ids that are sent to all workers, and the parts that a key is dealt out to where there are more.
+SENT, SALTS = 500_000, 16
 
 
 def held(df: DataFrame, name: str, value: Column) -> DataFrame:
@@ -67,11 +70,31 @@ def covered_words(windows: Column) -> Column:
     return F.element_at(F.transform(steps, spread), 1)
 
 
-def ratio_model(texts: DataFrame, labels: DataFrame, buckets: int, smoothing: float, trusted: int) -> DataFrame:
+def marked(texts: DataFrame, labels: DataFrame) -> DataFrame:
+    """``texts`` with ``good``: 1 for the ids of ``labels``, null for others."""
+    from linkmill.llm.runtime import staged
+
+    def block(id_: Column) -> Column:
+        return F.shiftright(id_, 6)
+
+    def place(id_: Column) -> Column:
+        return id_.bitwiseAND(F.lit(63)).cast("int")
+
+    ids = labels.select(F.col("doc_id").cast("long").alias("id")).where("id is not null")
+    masks = staged(ids.groupBy(block(F.col("id")).alias("block")).agg(F.bit_or(F.expr("shiftleft(1L, cast(id & 63 as int))")).alias("mask")), "masks")
+    on = block(F.col("doc_id")) == F.col("block")
+    if masks.count() <= SENT:
+        found = texts.join(F.broadcast(masks), on, "left")
+    else:
+        masks = masks.withColumn("mask_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        salted = texts.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+        found = salted.join(masks, on & (F.col("salt") == F.col("mask_salt")), "left")
+    return found.select(*texts.columns, F.when(F.getbit("mask", place(F.col("doc_id"))) == 1, 1).alias("good"))
+
+
+def ratio_model(texts: DataFrame, labels: DataFrame, buckets: int, smoothing: float) -> DataFrame:
     """One row, ``model``: the log ratio of each bucket."""
-    good = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("good")).distinct()
-    good = good.orderBy(F.xxhash64("good"), "good").limit(trusted)
-    rows = texts.join(F.broadcast(good), F.col("doc_id") == F.col("good"), "left").select("good", words_of(F.col("text")).alias("words"))
+    rows = marked(texts, labels.where("quality = 1")).select("good", words_of(F.col("text")).alias("words"))
     rows = held(rows.where(F.size("words") > 0), "held", F.col("words")).select("good", F.explode(buckets_of(F.col("held"), buckets)).alias("bucket"))
     counts = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.count("good").alias("target"))
     spark = texts.sparkSession
@@ -91,13 +114,13 @@ def ratio_model(texts: DataFrame, labels: DataFrame, buckets: int, smoothing: fl
 RULES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "score", "base_failed", "kept"]
 
 
-def judged(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS, smoothing: float = SMOOTHING, trusted: int = TRUSTED, threshold: float = THRESHOLD) -> DataFrame:
+def judged(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS, smoothing: float = SMOOTHING, threshold: float = THRESHOLD) -> DataFrame:
     """row (a struct of the columns of ``docs``) and the columns RULES."""
     from linkmill.llm.runtime import staged
 
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     # The corpus is counted once, before any document is judged.
-    model = staged(ratio_model(rows.select("doc_id", "text"), labels, buckets, smoothing, trusted), "ratios")
+    model = staged(ratio_model(rows.select("doc_id", "text"), labels, buckets, smoothing), "ratios")
     rows = held(rows, "words", words_of(F.col("text")))
     text, words = F.coalesce("text", F.lit("")), F.col("words")
     rows = held(rows, "lines", F.filter(F.split(text, "\n"), lambda line: F.btrim(line, F.lit(WHITE)) != ""))

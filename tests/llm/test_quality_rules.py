@@ -62,3 +62,34 @@ def test_no_labels_and_no_rows(spark):
     assert Q.judged(spark.createDataFrame([], SCHEMA), none).collect() == []
     rows = Q.judged(spark.createDataFrame(corpus(), SCHEMA), none, buckets=64).collect()
     assert all(r.score == 0.0 and r.kept != r.base_failed for r in rows)
+
+
+def test_target_counts_all_labelled_documents(spark):
+    n = 20_100
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.format_string("t%d u%d", "id", "id").alias("text"))
+    docs = docs.union(spark.createDataFrame([(None, "no id"), (7, "t7 u7")], "doc_id long, text string"))
+    labels = spark.range(n).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
+    found = Q.held(docs.select("doc_id", Q.words_of(F.col("text")).alias("w")), "b", Q.buckets_of(F.col("w"), 8)).select("doc_id", "b").collect()
+    raw, target = [0] * 8, [0] * 8
+    for r in found:
+        for b in r.b:
+            raw[b] += 1
+            target[b] += r.doc_id is not None
+    assert sum(target) == 3 * (n + 1)
+    ratio = [math.log((t + Q.SMOOTHING) / (x * sum(target) / sum(raw) + Q.SMOOTHING)) for t, x in zip(target, raw, strict=True)]
+    rows = Q.judged(docs, labels, buckets=8).select(F.col("row.doc_id").alias("doc_id"), "score").collect()
+    want = sorted((-1 if r.doc_id is None else r.doc_id, sum(ratio[b] for b in r.b) / len(r.b)) for r in found)
+    got = sorted((-1 if r.doc_id is None else r.doc_id, r.score) for r in rows)
+    assert all(a == b and abs(x - y) < 1e-8 for (a, x), (b, y) in zip(got, want, strict=True))
+
+
+def test_marked_ids(spark, monkeypatch):
+    rnd = random.Random(5)
+    ids = [*range(-200, 200), -(1 << 63), (1 << 63) - 1, 1 << 40, None, None, 3, 3]
+    good = {i for i in ids if i is not None and rnd.random() < 0.5} | {3, -(1 << 63), 999}
+    docs = spark.createDataFrame([(i, f"t{i}") for i in ids], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in (*good, *good, None)], LABELS)
+    want = sorted((str(i), 1 if i in good else 0) for i in ids)
+    for sent in (Q.SENT, 0):
+        monkeypatch.setattr(Q, "SENT", sent)
+        assert sorted((str(r.doc_id), r.good or 0) for r in Q.marked(docs, labels).collect()) == want
