@@ -40,6 +40,31 @@ def test_exact_utility_equals_enumeration(p):
         assert abs(got[k] - want) < 1e-9
 
 
+def utility_by_counts(p, most):
+    """Expected F0.5 of the prefixes by the distributions of the true candidates inside and outside."""
+    def counts(q):
+        out = np.ones(1)
+        for x in q:
+            out = np.convolve(out, [1 - x, x])
+        return out
+
+    found = [counts(p)[0]]
+    for k in range(1, min(most, len(p)) + 1):
+        inside, outside = counts(p[:k]), counts(p[k:])
+        found.append(sum(a * b * 1.25 * i / (0.25 * (i + j) + k) for i, a in enumerate(inside) for j, b in enumerate(outside) if i))
+    return found
+
+
+def test_exact_selection_counts_all_candidates(spark):
+    rnd = random.Random(6)
+    lists = {"a": [0.6] * 13, "b": [0.15] * 40, "c": [rnd.random() for _ in range(30)], "d": [0.9, 0.2], "e": [0.01] * 900 + [0.5]}
+    rows = [(s, f"c{k:04d}", x) for s, ps in lists.items() for k, x in enumerate(ps)]
+    got = {r.s1_id: (r.m, r.utility) for r in A.exact_ef05(spark.createDataFrame(rows, PAIR + ", p double")).collect()}
+    for s, ps in lists.items():
+        want = utility_by_counts(sorted(ps, reverse=True), 12)
+        assert got[s][0] == int(np.argmax(want)) and abs(got[s][1] - max(want)) < 2e-9, s
+
+
 def test_address_goldens(spark):
     cases = [
         ("4421 1A Amethyst Court, High Point, NC", "4421 1a amethyst ct high point nc", "4421", "1"),
