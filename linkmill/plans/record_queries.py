@@ -225,8 +225,7 @@ def reverse_topk(spark, d):
 @query()
 def pair_similarity(spark, d):
     q, t = sides(spark, d)
-    pool = B.pool_topk(stage1(spark, d), 5)
-    return B.pair_similarity(pool, q, t).select("q", "t", F.round("sim_n", 6).alias("sim_n"), F.round("sim_a", 6).alias("sim_a"))
+    return B.pair_similarity(B.pool_topk(stage1(spark, d)), q, t).select("q", "t", F.round("sim_n", 6).alias("sim_n"), F.round("sim_a", 6).alias("sim_a"))
 
 
 @query(with_(*CHAIN[:-1], "SELECT q, t, round(sim_n, 6) AS sim_n, round(sim_a, 6) AS sim_a, rscore FROM resc"))
@@ -310,13 +309,19 @@ def baseline(spark, d):
 # --- similarities and features -----------------------------------------------------------------
 
 
-def text_pairs(spark, d) -> DataFrame:
-    """Pairs of normalised records by a shared first key, as q_ and t_ columns."""
+def text_pairs(spark, d, pairs: DataFrame | None = None) -> DataFrame:
+    """Pairs of normalised records as q_ and t_ columns: by default only each entity's best 3 of the pool, as the SQL (TOP3) has it."""
     q, t = sides(spark, d)
-    pairs = B.pool_topk(stage1(spark, d), 3)
+    if pairs is None:
+        pairs = B.pool_topk(stage1(spark, d), 3)
     return B.with_sides(pairs, X.genericness(q), X.genericness(t), [*X.SIDE, "business_address"], (*X.T_ONLY,)).withColumnsRenamed({"q": "s1_id", "t": "cand_id"})
 
 
+def candidate_texts(spark, d) -> DataFrame:
+    """All candidates, for the queries without SQL."""
+    return text_pairs(spark, d, candidates(spark, d).select("country", "q", "t", "bscore", "kbits"))
+
+
 TOP3 = (*KEYED, INDEX, STAGE1, POOL.replace("600", "3"))
 BOTH = "JOIN recs x ON x.entity_id = p.q JOIN recs y ON y.entity_id = p.t"
 
@@ -332,7 +337,7 @@ PLAIN = "regexp_replace({}, '[^a-z0-9 ]', '', 'g')"
 def scorer_query(name: str, kind: str, sql: str | None) -> None:
     def f(spark: SparkSession, d: str) -> DataFrame:
         left, right = (plain(f"{s}_n_nospace") if kind == "jw" else F.col(f"{s}_n_core") for s in "qt")
-        x = text_pairs(spark, d).withColumn("s", S.scores({"v": (kind, left, right)}))
+        x = (text_pairs if sql else candidate_texts)(spark, d).withColumn("s", S.scores({"v": (kind, left, right)}))
         return x.select("s1_id", "cand_id", F.round("s.v", 6).alias("v"))
 
     f.__name__ = name
@@ -356,7 +361,7 @@ def jaccard_tokens(spark, d):
 
 @query()
 def string_features(spark, d):
-    x = X.string_features(text_pairs(spark, d))
+    x = X.string_features(candidate_texts(spark, d))
     return x.select("s1_id", "cand_id", *(F.round(c, 6).alias(c) for c in ("n_tset", "n_tsort", "n_ratio", "n_partial", "n_jw", "a_tset", "a_ratio")))
 
 
@@ -497,7 +502,8 @@ def pair_text(spark, d):
 
 @query()
 def pair_scorer(spark, d):
-    return L.pair_scorer(pair_text(spark, d), L.token_scorer).select("s1_id", "cand_id", F.round("ce", 6).alias("ce"))
+    pairs = candidates(spark, d).select(F.col("q").alias("s1_id"), F.col("t").alias("cand_id"))
+    return L.pair_scorer(L.pair_text(pairs, records(spark, d)).select("s1_id", "cand_id", "a_txt", "b_txt"), L.token_scorer).select("s1_id", "cand_id", F.round("ce", 6).alias("ce"))
 
 
 HASH = "('0x' || substr(md5(entity_id), 1, 8))::BIGINT"
@@ -509,7 +515,7 @@ def synthetic_siblings(spark, d):
 
 
 def rule_pairs(spark, d):
-    return B.pool_topk(stage1(spark, d), 5).select(F.col("q").alias("s1_id"), F.col("t").alias("cand_id"), "country")
+    return candidates(spark, d).select(F.col("q").alias("s1_id"), F.col("t").alias("cand_id"), "country")
 
 
 @query()

@@ -13,6 +13,7 @@ from linkmill.operators import evaluation as E
 from linkmill.operators import features as X
 from linkmill.operators import learning as L
 from linkmill.operators import records as R
+from linkmill.plans import record_queries as Q
 from linkmill.sources import files
 
 PAIR = "s1_id string, cand_id string"
@@ -173,3 +174,15 @@ def test_scorer_contract(spark):
     rows = spark.createDataFrame([("a", "b", "red fox", "red fox"), ("a", "c", "red fox", "dog")], PAIR + ", a_txt string, b_txt string")
     got = {r.cand_id: r.ce for r in L.pair_scorer(rows, L.token_scorer).collect()}
     assert got == {"b": 4.0, "c": -4.0}
+
+
+def test_queries_without_sql_cover_all_candidates(spark):
+    import __spark_entry__ as entry
+
+    queries, d = entry.queries(), "/root/testdata/sf0.001"
+    keys = lambda df: sorted(map(tuple, df.select(*df.columns[:2]).collect()))
+    every = keys(queries["generate_candidates"](spark, d))
+    for name in ("sim_ratio", "sim_partial", "sim_tsort", "sim_tset", "string_features", "pair_scorer"):
+        assert name not in entry.oracle_sql() and keys(queries[name](spark, d)) == every, name
+    assert keys(queries["pair_similarity"](spark, d)) == keys(queries["rerank_score"](spark, d))
+    assert keys(Q.rule_pairs(spark, d)) == every
