@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 
 from linkmill.llm.runtime import drop_staged, staged
 
-ROUNDS = 40
 #: Links that one task contracts at once (16 bytes each).
 BLOCK = 1_000_000
 
@@ -78,23 +77,19 @@ def component_labels(links: DataFrame) -> DataFrame:
     raw = staged(edges, "links")
     blocks = max(1, -(-raw.count() // BLOCK))
     edges = staged(raw.coalesce(blocks).mapInArrow(_local, "u long, v long"), "links")
+    drop_staged(raw)
     if blocks == 1:  # one forest: its roots are the smallest nodes
         return edges.select(F.col("u").alias("node"), F.col("v").alias("label"))
 
     def state(df: DataFrame) -> tuple:
         return tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
-    now = state(edges)
-    for _ in range(ROUNDS):
-        if not now[0]:
-            break
+    # Each step lowers a node's parent or leaves all as they are, so this ends, in rounds logarithmic in the nodes.
+    now, then = state(edges), None
+    while now[0] and now != then:
+        then = now
         following = staged(_star(_star(edges, True), False), "links")
-        then = state(following)
+        now = state(following)
         drop_staged(edges)
         edges = following
-        if then == now:
-            break
-        now = then
-    else:
-        raise RuntimeError("the components have not settled")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("label"))
