@@ -26,6 +26,8 @@ WHITE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS, WINDOW, REPEAT_PERCENT = 10, 5, 20
 BUCKETS, SMOOTHING, THRESHOLD = 1 << 18, 4.0, -0.20
+#: Buckets that are counted in one group.
+SLOTS = 4
 #: Masks of 64 ids that are sent to all workers, and the parts that a key is dealt out to where there are more.
 SENT, SALTS = 500_000, 16
 
@@ -49,15 +51,20 @@ def joined(left: Column, right: Column, skip: int) -> Column:
     return F.when(n > 0, F.zip_with(F.slice(left, F.lit(1), n), F.slice(right, skip + 1, n), lambda x, y: F.xxhash64(x, y))).otherwise(F.array().cast("array<bigint>"))
 
 
-def buckets_of(words: Column, buckets: int) -> Column:
-    """The bucket of each word and of each pair of neighbours."""
-    hashes = word_hashes(words)
-    return F.transform(F.concat(hashes, joined(hashes, hashes, 1)), lambda h: F.pmod(h, F.lit(buckets)).cast("int"))
+def counted(rows: DataFrame, buckets: int) -> DataFrame:
+    """good, bucket: one row for each word of ``words`` and for each pair of neighbours. Rows are made before they are
+    hashed, so that the hashes are compiled; a lambda over an array is not."""
+    pairs = F.arrays_zip(F.col("words").alias("word"), F.slice("words", F.lit(2), F.size("words")).alias("next"))
+    rows = rows.select("good", F.explode(pairs).alias("at"))
+    one = F.xxhash64("at.word")
+    both = F.array(one, F.when(F.col("at.next").isNotNull(), F.xxhash64(one, F.xxhash64("at.next"))))
+    rows = rows.select("good", F.explode(both).alias("hash")).where("hash is not null")
+    return rows.select("good", F.pmod("hash", F.lit(buckets)).cast("int").alias("bucket"))
 
 
 def covered_words(windows: Column) -> Column:
     """Words in windows of ``WINDOW`` words whose hash stands among ``windows`` twice or more."""
-    listed = F.array_sort(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    listed = F.sort_array(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
 
     def twice(all_: Column) -> Column:
         return F.filter(all_, lambda x, k: F.get(all_, k + 1)["h"].eqNullSafe(x["h"]) | ((k > 0) & F.get(all_, k - 1)["h"].eqNullSafe(x["h"])))
@@ -66,7 +73,7 @@ def covered_words(windows: Column) -> Column:
         return F.aggregate(F.transform(at, lambda x, k: F.least(F.lit(WINDOW), F.coalesce(F.get(at, k + 1) - x, F.lit(WINDOW)))), F.lit(0).cast("long"), lambda n, x: n + x)
 
     # A list of one element carries each step's result into the next, so that it is computed once.
-    steps = F.transform(F.transform(F.array(listed), twice), lambda t: F.array_sort(F.transform(t, lambda x: x["i"])))
+    steps = F.transform(F.transform(F.array(listed), twice), lambda t: F.sort_array(F.transform(t, lambda x: x["i"])))
     return F.element_at(F.transform(steps, spread), 1)
 
 
@@ -95,8 +102,14 @@ def marked(texts: DataFrame, labels: DataFrame) -> DataFrame:
 def ratio_model(texts: DataFrame, labels: DataFrame, buckets: int, smoothing: float) -> DataFrame:
     """One row, ``model``: the log ratio of each bucket."""
     rows = marked(texts, labels.where("quality = 1")).select("good", words_of(F.col("text")).alias("words"))
-    rows = held(rows.where(F.size("words") > 0), "held", F.col("words")).select("good", F.explode(buckets_of(F.col("held"), buckets)).alias("bucket"))
-    counts = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.count("good").alias("target"))
+    rows = held(rows.where(F.size("words") > 0), "held", F.col("words")).select("good", F.col("held").alias("words"))
+    # Neighbouring buckets are counted in one group, so that a task's groups stay few enough to be found quickly.
+    slots = range(SLOTS)
+    rows = counted(rows, buckets).select("good", F.floor(F.col("bucket") / SLOTS).cast("int").alias("group"), (F.col("bucket") % SLOTS).alias("slot"))
+    sums = [f(F.when(F.col("slot") == k, value)).alias(f"{name}{k}") for k in slots for name, f, value in (("raw", F.count, F.lit(1)), ("target", F.count, F.col("good")))]
+    groups = rows.groupBy("group").agg(*sums)
+    each = F.array(*(F.struct((F.col("group") * SLOTS + k).alias("bucket"), F.col(f"raw{k}").alias("raw"), F.col(f"target{k}").alias("target")) for k in slots))
+    counts = groups.select(F.inline(each))
     spark = texts.sparkSession
     counts = spark.range(buckets).select(F.col("id").cast("int").alias("bucket")).join(counts, "bucket", "left").na.fill(0)
     listed = counts.agg(F.array_sort(F.collect_list(F.struct("bucket", "raw", "target"))).alias("c"), F.sum("raw").alias("raw"), F.sum("target").alias("target"))
@@ -128,14 +141,16 @@ def judged(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_c
         {
             "n_words": F.size(words).cast("long"),
             "word_chars": F.char_length(F.array_join("words", "")).cast("long"),
-            "n_symbols": (F.char_length(text) - F.char_length(F.translate(text, SYMBOLS, ""))).cast("long"),
+            "n_symbols": F.regexp_count(text, F.lit(f"[{SYMBOLS}]")).cast("long"),
             "n_dup_lines": (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long"),
         }
     ).drop("lines", "text")
     rows = held(rows, "one", word_hashes(words)).drop("words")
     rows = held(rows, "two", joined(F.col("one"), F.col("one"), 1))
-    rows = held(rows, "windows", joined(joined(F.col("two"), F.col("two"), 2), F.col("one"), WINDOW - 1))
-    # Most texts repeat no window; only the others are looked at closely.
+    rows = held(rows, "four", joined(F.col("two"), F.col("two"), 2))
+    # A text that repeats no four words repeats no window; only the others are looked at closely.
+    repeats = F.size(F.array_distinct("four")) < F.size("four")
+    rows = held(rows, "windows", F.when(repeats, joined(F.col("four"), F.col("one"), WINDOW - 1)))
     repeats = F.size(F.array_distinct("windows")) < F.size("windows")
     rows = rows.withColumn("n_repeat_words", F.when(repeats, covered_words(F.col("windows"))).otherwise(F.lit(0).cast("long")))
     rows = rows.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words")))
