@@ -7,7 +7,8 @@ end mark of the assistant's turns. The prompt carries none.
 Defined results: null roles and texts are empty; turns are ordered by (turn, role, text), so ties and
 repeated rows have one order; rows with a null conversation id and conversations that only one side
 has are left out; if one side continues the other, the shorter completion is empty; equal sides give
-two empty completions; empty tables give no rows; other columns take no part.
+two empty completions; texts of any length are kept whole; empty tables give no rows; other columns,
+whatever their names, take no part.
 """
 
 from __future__ import annotations
@@ -75,13 +76,16 @@ def preference_pairs(chosen: DataFrame, rejected: DataFrame, *, id_col: str = "c
 
 
 def shortened_answers(turns: DataFrame, id_col: str = "conv_id") -> tuple[DataFrame, DataFrame]:
-    """Chosen and rejected sides from plain conversations: up to the last answer, as it is and cut behind its first sentence."""
-    rows = _plain(turns, id_col)
-    last = rows.where(F.col("role") == ASSISTANT).groupBy("conv_id").agg(F.max(F.struct("turn", "role", "text")).alias("last"))
-    here = F.struct("turn", "role", "text")
-    rows = rows.join(last, "conv_id").where(here <= F.col("last"))
-    cut = F.when(here == F.col("last"), F.substring_index("text", ".", 1)).otherwise(F.col("text"))
-    return rows.select("conv_id", "turn", "role", "text"), rows.select("conv_id", "turn", "role", cut.alias("text"))
+    """Chosen and rejected sides from plain conversations: up to the last answer, as it is and cut behind its first
+    sentence. Of repeated rows of the last answer only the last one is cut."""
+    listed = F.array_sort(F.collect_list(F.struct("turn", "role", "text")))
+    rows = _plain(turns, id_col).groupBy("conv_id").agg(listed.alias("turns"))
+    # Turns are numbered by their place, so that of equal ones only the last is cut.
+    back = F.array_position(F.reverse(F.transform("turns", lambda t: t["role"] == ASSISTANT)), True)
+    rows = rows.withColumn("last", (F.size("turns") - back).cast("int")).where(back > 0)
+    rows = rows.select("conv_id", "last", F.posexplode("turns").alias("turn", "t")).where(F.col("turn") <= F.col("last"))
+    cut = F.when(F.col("turn") == F.col("last"), F.substring_index("t.text", ".", 1)).otherwise(F.col("t.text"))
+    return rows.select("conv_id", "turn", "t.role", "t.text"), rows.select("conv_id", "turn", "t.role", cut.alias("text"))
 
 
 def digests(pairs: DataFrame) -> DataFrame:

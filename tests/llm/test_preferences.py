@@ -46,3 +46,21 @@ def test_nulls_ties_and_empty_tables(spark):
     assert got[1].n_prompt_turns == 2 and got[1].rejected == "<|assistant|>\nA<|end|>\n" and got[1].chosen_mask == "14:27"
     assert got[3].n_prompt_turns == 2 and got[3].chosen == got[3].rejected == ""
     assert P.preference_pairs(*P.shortened_answers(turns(spark, []))).collect() == []
+
+
+def test_of_repeated_last_answers_one_is_cut(spark):
+    rows = [(1, 0, "user", "q"), (1, 1, "assistant", "A. B."), (1, 1, "assistant", "A. B."), (1, 2, "user", "after")]
+    got = P.digests(P.preference_pairs(*P.shortened_answers(turns(spark, rows)))).collect()
+    assert [(r.n_prompt_turns, r.chosen, r.rejected) for r in got] == [(2, "<|assistant|>\nA. B.<|end|>\n", "<|assistant|>\nA<|end|>\n")]
+
+
+def test_sql_agrees_on_ties_repeated_rows_and_long_texts(spark):
+    import duckdb
+
+    rows = [(1, 0, "user", "q"), (1, 1, "assistant", "A. B."), (1, 1, "assistant", "A. B."), (2, None, None, None), (2, 0, "assistant", "x" * 300_000 + ". y"), (3, 0, "assistant", ""), (4, 0, "user", "u"), (None, 0, "assistant", "n")]
+    conversations = turns(spark, rows).toPandas()
+    conversations["conv_id"] = conversations["conv_id"].astype("Int64")
+    conversations["turn"] = conversations["turn"].astype("Int64")
+    want = duckdb.sql(P.SQL).fetchall()
+    got = P.digests(P.preference_pairs(*P.shortened_answers(turns(spark, rows)))).collect()
+    assert sorted(map(tuple, got)) == sorted(want) and len(got) == 3
