@@ -49,6 +49,8 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 #: A stretch of period p that has at least 2 p + 1 bytes.
 PERIODIC = re.compile(rb"(?s)((.).*?)\1\2")
+#: Longer words are merged by rank at once: looking for periods takes time by the square of the length.
+LONG_WORD = 256
 
 
 def merge_by_rank(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -100,7 +102,7 @@ class ByteBpe:
 
     def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         ids, counts = self.library(words)
-        odd = [k for k, w in enumerate(words) if PERIODIC.search(w.encode())]
+        odd = [k for k, w in enumerate(words) if len(w) > LONG_WORD or PERIODIC.search(w.encode())]
         if odd:
             parts = np.split(ids, np.cumsum(counts)[:-1])
             for k in odd:

@@ -64,3 +64,22 @@ def test_unknown_ids_decode_to_nothing():
 
 def test_token_starts_of_nothing():
     assert len(token_starts(np.zeros(0, np.uint8), np.array([0, 0]))) == 0
+
+
+def test_a_word_of_a_megabyte_takes_seconds():
+    import time
+
+    rnd, bpe = random.Random(2), B.ByteBpe(RANKS)
+    word = "".join(chr(rnd.randrange(0x4E00, 0x9FA5)) for _ in range(340_000))
+    began = time.perf_counter()
+    ids, _ = bpe.words([word])
+    assert time.perf_counter() - began < 60
+    data, _ = bpe.decode(ids, np.array([0, len(ids)]))
+    assert data.tobytes().decode() == word
+    short = word[:3000]
+    assert bpe.words([short])[0].tolist() == reference().encode_ordinary(short)
+
+
+def test_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "a b", "x", 3)], "doc_id long, text string, ids string, n_tokens int")
+    assert [(r.doc_id, bytes(r.decoded)) for r in B.round_trip(df, RANKS).collect()] == [(1, b"a b")]
