@@ -23,8 +23,9 @@ Neighbouring positions mostly share their anchor; the stretch of text under them
 Hashes are of 64 bits; a context is told apart by two of them, a hot string by its anchor and xxhash64.
 
 Defined results: null text is empty; a row with a null id is compared with none and kept whole; rows
-that repeat an id are one document (equal rows are judged alike); empty tables give no rows; other
-columns, whatever their names, take no part.
+that repeat an id are one document (equal rows are judged alike; of different texts the one place counts once);
+a text of any length is read whole, piece by piece; empty tables give no rows; other columns, whatever
+their names, take no part.
 """
 
 from __future__ import annotations
@@ -48,6 +49,8 @@ BLOCK_CONTEXTS = 400_000
 #: Bytes of context text in one suffix array; a larger group of one anchor is a block of its own.
 BLOCK_BYTES = 2 << 20
 HOT_CONTEXTS = 8_192
+#: Positions of a single text that are looked at together. A position within a chunk has 28 bits.
+PIECE = 1 << 23
 _POSITION = np.uint64((1 << 28) - 1)
 FOUND = "anchor long, context long, doc long, at long, n int"
 
@@ -67,8 +70,6 @@ def contexts_of(data: np.ndarray, offsets: np.ndarray, length: int, anchor: int)
     none = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int64, np.int32))
     if len(data) < length:
         return none
-    if len(data) > int(_POSITION):
-        raise ValueError("a text of over 256 MB")
     sums = prefix_sums(data)
     _, down = powers(len(data) + 1)
     grams = mixed((sums[anchor:] - sums[:-anchor]) * down[: len(data) - anchor + 1])
@@ -91,6 +92,19 @@ def contexts_of(data: np.ndarray, offsets: np.ndarray, length: int, anchor: int)
     return grams[at].view(np.int64), seen.view(np.int64), text[first], first - offsets[text[first]], count.astype(np.int32)
 
 
+def pieces_of(data: np.ndarray, offsets: np.ndarray, length: int, anchor: int) -> tuple[np.ndarray, ...]:
+    """contexts_of() the texts. A single very long text is gone through in pieces that share ``length`` - 1 bytes:
+    a context ends at the end of a piece, and equal strings have equal anchors wherever they are."""
+    if len(data) <= PIECE or len(offsets) != 2:
+        return contexts_of(data, offsets, length, anchor)
+    found = []
+    for start in range(0, len(data) - length + 1, PIECE):
+        part = data[start : start + PIECE + length - 1]
+        h, c, text, at, n = contexts_of(part, np.array([0, len(part)]), length, anchor)
+        found.append((h, c, text, at + start, n))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
 def merged(doc: np.ndarray, at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Join stretches that follow one another in a document; sorted by document and position."""
     if not len(doc):
@@ -125,7 +139,7 @@ def anchored(batches: Iterator[pa.RecordBatch], length: int, anchor: int) -> Ite
 
     for batch in batches:
         for chunk in text_chunks(batch):
-            h, c, text, at, n = contexts_of(*text_buffer(chunk["text"]), length, anchor)
+            h, c, text, at, n = pieces_of(*text_buffer(chunk["text"]), length, anchor)
             if len(h):
                 held.append((h, c, np.asarray(chunk["doc_id"])[text], at.astype(np.int64), n))
                 size += len(h)

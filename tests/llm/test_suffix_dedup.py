@@ -91,3 +91,26 @@ def test_nearest_smaller():
         for i in range(len(x)):
             assert before[i] == max([j for j in range(i) if x[j] < x[i]], default=-1)
             assert behind[i] == min([j for j in range(i + 1, len(x)) if x[j] < x[i]], default=len(x))
+
+
+def test_a_long_text_is_read_in_pieces(monkeypatch):
+    rnd = np.random.default_rng(7)
+    part = rnd.integers(97, 105, 400).astype(np.uint8)
+    data = np.concatenate([part, rnd.integers(97, 123, 700).astype(np.uint8), part, part])
+    bounds = np.array([0, len(data)])
+
+    def places(found):
+        anchor, _, _, at, n = found
+        return sorted((int(a) + k, int(h)) for h, a, m in zip(anchor, at, n, strict=True) for k in range(m))
+
+    whole = places(S.contexts_of(data, bounds, 100, 32))
+    monkeypatch.setattr(S, "PIECE", 333)
+    assert places(S.pieces_of(data, bounds, 100, 32)) == whole and len(whole) == len(data) - 99
+
+
+def test_a_very_long_text(spark):
+    rnd = random.Random(3)
+    long = " ".join(rnd.choice("abcdefghij") + str(rnd.randrange(10**6)) for _ in range(1_300_000))  # beyond one piece
+    docs = [(2, long), (1, long[9_000_000:9_000_500]), (3, "z" + long[8_388_500:8_388_800])]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in S.digests(S.remove_copies(spark.createDataFrame(docs, SCHEMA))).collect()}
+    assert len(long) > S.PIECE and got == {1: (500, 0, 0), 2: (len(long), 500, 1), 3: (301, 300, 1)}
