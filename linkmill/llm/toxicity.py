@@ -112,10 +112,16 @@ def fit_chain(docs: DataFrame, labels: DataFrame, *, categories=CATEGORIES, samp
     flags = F.array(*(F.expr(f"cast({condition} as int)") for _, condition in categories))
     known = labels.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), flags.alias("known"))
     known = known.groupBy("doc_id").agg(F.min("known").alias("known"), F.max("known").alias("most")).where("known = most and not exists(known, x -> x is null)").drop("most")
+    # The rows whose ids hash lowest. What cannot be among them by the share that is needed goes first, so that
+    # the window of a combination of labels holds little more than the sample, however many rows there are.
+    unit = F.xxhash64("doc_id") / F.lit(2.0**64) + F.lit(0.5)
+    times = known.groupBy(F.col("known").alias("kind")).agg(F.count(F.lit(1)).alias("times"))
+    known = known.join(F.broadcast(times), F.col("known") == F.col("kind")).where(unit * F.col("times") <= 1.2 * sample + 1000).select("doc_id", "known")
     order = Window.partitionBy("known").orderBy(F.xxhash64("doc_id"), "doc_id")
     known = known.withColumn("k", F.row_number().over(order)).where(F.col("k") <= sample).drop("k")
     # At most sample rows for each combination of labels: small enough to broadcast and to collect.
-    rows = docs.join(F.broadcast(known), "doc_id").select("doc_id", "text", "known").dropDuplicates(["doc_id"])
+    # Of several texts of an id the one whose hash is lowest.
+    rows = docs.join(F.broadcast(known), "doc_id").groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text", "known")).alias("row")).select("doc_id", "row.text", "row.known")
     rows = rows.mapInArrow(lambda batches: _hashed(batches, width), "doc_id long, known array<int>, words binary").toArrow()
     order = np.argsort(np.asarray(rows["doc_id"]), kind="stable")
     rows = rows.take(pa.array(order))
