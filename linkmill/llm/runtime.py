@@ -23,6 +23,8 @@ def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         held = spark.sparkContext.getCheckpointDir()
+        if not held and spark.sparkContext.master.partition("[")[0] != "local":
+            raise RuntimeError("on a cluster spark.checkpoint.dir must name a folder that driver and executors share")
         found = held or f"file://{tempfile.mkdtemp(prefix='linkmill-')}"
         if not held:
             spark.sparkContext.setCheckpointDir(found)
