@@ -29,6 +29,21 @@ def test_imports_without_the_training_part():
     subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True)
 
 
+def test_a_missing_library_is_not_hidden():
+    code = (
+        "import sys\n"
+        "sys.modules['linkmill.llm'] = None\n"
+        "import __spark_entry__ as e\n"
+        "assert 'baseline' in e.queries()\n"
+        "del sys.modules['linkmill.llm']\n"
+        "import importlib\n"
+        "def missing(name): raise ModuleNotFoundError('no', name='tokenizers')\n"
+        "importlib.import_module = missing\n"
+        "try:\n    e.queries()\nexcept ModuleNotFoundError:\n    sys.exit(0)\nsys.exit(1)\n"
+    )
+    subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True)
+
+
 def test_flagship(spark):
     rows = entry.entry(spark).collect()
     assert rows and all(0 <= r.f05 <= 1 for r in rows)
