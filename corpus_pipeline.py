@@ -13,6 +13,9 @@ columns of docs, and all rows that are kept, whole:
 * packing returns the pieces of the packed sequences.
 
 A row whose id is null is judged by the filters like any other, is in no group of copies and keeps its text.
+Rows that repeat an id are one document: they stay or go together, and each is packed. Null and empty texts
+fail the base rules; texts of any length are read whole; an empty table gives no rows; other columns, whatever
+their names, come through to the last stage but one.
 """
 
 from __future__ import annotations
@@ -37,11 +40,10 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = jaccard_join.jaccard_components(docs, words=WORDS, percent=PERCENT)
-    gone = found.where("component_id < doc_id").select(F.col("doc_id").alias("_gone")).distinct()
     # Few ids beside whole texts: the texts are only dealt out if the ids are too many to send.
-    few = staged(gone, "gone")
-    small = few.count() <= jaccard_join.BROADCAST_NODES
-    return docs.join(F.broadcast(few) if small else few, docs["doc_id"] == few["_gone"], "left_anti")
+    gone = staged(found.where("component_id < doc_id").select("doc_id").distinct(), "gone")
+    small = gone.count() <= jaccard_join.BROADCAST_NODES
+    return docs.join(F.broadcast(gone) if small else gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
