@@ -59,10 +59,13 @@ def shapes(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     each = np.maximum(count, 1)
 
     def distinct(keys: np.ndarray, of: np.ndarray) -> np.ndarray:
-        order = np.lexsort((keys, of))
-        k, t = keys[order], of[order]
-        new = np.append(True, (k[1:] != k[:-1]) | (t[1:] != t[:-1])) if len(k) else np.zeros(0, bool)
-        return np.bincount(t[new], minlength=texts)
+        bounds, keys = np.searchsorted(of, np.arange(texts + 1)), keys.copy()
+        for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            keys[s:e].sort()
+        new = np.ones(len(keys), bool)
+        new[1:] = keys[1:] != keys[:-1]
+        new[bounds[:-1][bounds[:-1] < len(keys)]] = True
+        return np.bincount(of[new], minlength=texts)
 
     pair = word[:-1] * np.uint64(31) + word[1:] if len(word) else word
     inner = (text[1:] == text[:-1]) if len(text) else np.zeros(0, bool)

@@ -31,7 +31,7 @@ def corpus(n=400):
 def test_co_training_on_held_out_documents(spark):
     docs, labels = corpus()
     extra = [(1000, None, None, None, None, "x"), (1001, "", "en", "s1", 0, "x"), (None, "abc def", "en", "s1", 7, "x"), (1, docs[1][1], "en", "s1", 3, "x")]
-    rows = C.classified(spark.createDataFrame(docs + extra, DOCS), spark.createDataFrame(labels + [(2, None, None), (3, 0, 0)], LABELS), sample=150, pool=100).collect()
+    rows = C.classified(spark.createDataFrame(docs + extra, DOCS), spark.createDataFrame(labels + [(2, None, None), (3, 0, 0)], LABELS), sample=150, grow=40).collect()
     assert len(rows) == len(docs) + len(extra) and rows[0].row.kept == "x"
     verdict = {r.row.doc_id: r.kept for r in rows if r.row.doc_id is not None and r.row.doc_id < 400}
     held_out = [i for i in range(400) if i % 2 == 0]
@@ -39,6 +39,33 @@ def test_co_training_on_held_out_documents(spark):
     assert all(0 <= p <= 1 for r in rows for p in (r.p_text, r.p_meta, r.p_quality))
 
 
+def test_rounds_choose_among_all_unlabelled_documents(spark):
+    rng = np.random.default_rng(5)
+    n = 900
+    ids = np.arange(n)
+    shape = np.round(rng.random((n, len(C.SHAPES))), 2)
+    codes = rng.integers(0, 6, (n, 3)).astype(np.int32)
+    y = ((shape[:, 1] + codes[:, 0] / 6 + 0.3 * rng.random(n)) > 1.1).astype(np.int64)
+    pool, known = ids[ids % 3 > 0], ids[ids % 3 == 0]
+    asked = []
+
+    def plainly(plan):
+        out = {slot: (pool[r], shape[pool][r], codes[pool][r]) for slot, r, _ in plan.candidates(pool, shape[pool], codes[pool])}
+        asked.append(sum(len(v[0]) for v in out.values()))
+        return out
+
+    rows = [(int(i), shape[i].tolist(), codes[i].tolist()) for i in pool]
+    frame = spark.createDataFrame(rows, "id long, shape array<double>, meta array<int>").repartition(5)
+    options = {"grow": 30, "confident": 0.8}
+    one = C.CoTrained(known, shape[known], codes[known], y[known], plainly, **options)
+    two = C.CoTrained(known, shape[known], codes[known], y[known], C.nominator(frame, ["a", "b"], 30), **options)
+    assert len(asked) == C.ROUNDS and min(asked) > 30
+    for a, b in zip(one.thetas, two.thetas, strict=True):
+        assert np.allclose(a, b)
+    none = C.CoTrained(known, shape[known], codes[known], y[known], lambda plan: {}, **options)
+    assert not np.allclose(none.thetas[1], one.thetas[1])
+
+
 def test_chain_on_held_out_documents(spark):
     docs, labels = corpus()
     rows = X.toxicity(spark.createDataFrame(docs + [(None, None, None, None, None, "x")], DOCS), spark.createDataFrame(labels + [(1, 0, 1)], LABELS), width=1 << 12).collect()
