@@ -44,8 +44,8 @@ def select_threshold(pairs: DataFrame, threshold: float, col: str = "p") -> Data
     return pairs.where(F.col(col) >= threshold)
 
 
-def select_ef05(pairs: DataFrame, col: str = "p", recall_ceiling: float = 0.985, most: int = 12) -> DataFrame:
-    """The prefix by falling probability with the best expected F0.5, if that beats the empty set."""
+def flag_ef05(pairs: DataFrame, out: str, col: str = "p", recall_ceiling: float = 0.985, most: int = 12) -> DataFrame:
+    """Which pairs belong to the prefix by falling probability with the best expected F0.5, if that beats the empty set."""
     whole = Window.partitionBy("s1_id")
     order = whole.orderBy(F.desc(col), F.asc("cand_id"))
     run = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -53,7 +53,12 @@ def select_ef05(pairs: DataFrame, col: str = "p", recall_ceiling: float = 0.985,
     ef = F.when(F.col("_m") <= most, 1.25 * F.col("_cs") / (0.25 * F.col("_all") / recall_ceiling + F.col("_m"))).otherwise(F.lit(-1.0))
     df = df.withColumn("_ef", F.round(ef, 12))  # the sums depend on the order of rows; ties must not
     df = df.withColumns({"_best": F.max("_ef").over(whole), "_at": F.min_by("_m", F.struct(-F.col("_ef"), F.col("_m"))).over(whole)})
-    return df.where((F.col("_best") > F.col("_none")) & (F.col("_m") <= F.col("_at"))).drop("_m", "_cs", "_all", "_none", "_ef", "_best", "_at")
+    return df.withColumn(out, (F.col("_best") > F.col("_none")) & (F.col("_m") <= F.col("_at"))).drop("_m", "_cs", "_all", "_none", "_ef", "_best", "_at")
+
+
+def select_ef05(pairs: DataFrame, col: str = "p", recall_ceiling: float = 0.985, most: int = 12) -> DataFrame:
+    """The pairs of that prefix."""
+    return flag_ef05(pairs, "_kept", col, recall_ceiling, most).where("_kept").drop("_kept")
 
 
 @functools.lru_cache(maxsize=256)

@@ -31,9 +31,7 @@ def per_entity_f05(truth: DataFrame, pred: DataFrame, ids: DataFrame) -> DataFra
     each = both.groupBy(*KEY).agg(F.max("t").alias("t"), F.max("p").alias("p"))
     sums = each.groupBy("s1_id").agg(F.sum("t").alias("n_true"), F.sum("p").alias("n_pred"), F.sum(F.col("t") * F.col("p")).alias("tp"))
     x = ids.select("s1_id").distinct().join(sums, "s1_id", "left").na.fill(0, ["n_true", "n_pred", "tp"])
-    n, m = F.col("n_true"), F.col("n_pred")
-    f05 = F.when((n == 0) & (m == 0), 1.0).when((n == 0) | (m == 0), 0.0).otherwise(1.25 * F.col("tp") / (0.25 * n + m))
-    return x.withColumn("f05", f05)
+    return x.withColumn("f05", f05(F.col("n_true"), F.col("n_pred"), F.col("tp")))
 
 
 def macro_f05(truth: DataFrame, pred: DataFrame, ids: DataFrame) -> DataFrame:
@@ -57,17 +55,30 @@ def weighted_score(report: DataFrame, weights: dict[str, float], proxy: dict[str
     return report.agg(sum((F.lit(w) * score(c) for c, w in weights.items()), F.lit(0.0)).alias("weighted_f05"))
 
 
+def f05(n_true: Column, n_pred: Column, tp: Column) -> Column:
+    """Of one entity."""
+    return F.when((n_true == 0) & (n_pred == 0), 1.0).when((n_true == 0) | (n_pred == 0), 0.0).otherwise(1.25 * tp / (0.25 * n_true + n_pred))
+
+
 def evaluate(truth: DataFrame, pairs: DataFrame, ids: DataFrame, thresholds=(0.3, 0.4, 0.5, 0.6)) -> DataFrame:
-    """Macro F0.5 of the expected-F selection and of four thresholds after assigning owners."""
-    from linkmill.operators.assignment import one_owner, select_ef05, select_threshold
+    """Macro F0.5 of the expected-F selection and of four thresholds after assigning owners.
 
-    owned = one_owner(pairs)
-    parts = [("ef05", select_ef05(owned)), *((f"thr_{t}", select_threshold(owned, t)) for t in thresholds)]
-    out = None
-    for name, selected in parts:
-        row = macro_f05(truth, selected, ids).select(F.lit(name).alias("selection"), "macro_f05")
-        out = row if out is None else out.unionByName(row)
-    return out
+    One pass: owners are assigned once, every pair is flagged for each selection, and one aggregate by entity
+    counts all of them. truth has each pair once.
+    """
+    from linkmill.operators.assignment import flag_ef05, one_owner
+
+    owned = flag_ef05(one_owner(pairs), "_s0")
+    names = ["ef05", *(f"thr_{t}" for t in thresholds)]
+    chosen = [F.col("_s0"), *(F.col("p") >= t for t in thresholds)]
+    marks = [f"_c{k}" for k in range(len(names))]
+    flagged = owned.select(*KEY, F.lit(0).alias("_t"), *(c.cast("int").alias(m) for c, m in zip(chosen, marks, strict=True)))
+    true = truth.select(*KEY, F.lit(1).alias("_t"), *(F.lit(0).alias(m) for m in marks))
+    each = flagged.unionByName(true).groupBy(*KEY).agg(F.max("_t").alias("_t"), *(F.max(m).alias(m) for m in marks))
+    sums = each.groupBy("s1_id").agg(F.sum("_t").alias("_n"), *(F.sum(m).alias(f"{m}p") for m in marks), *(F.sum(F.col("_t") * F.col(m)).alias(f"{m}t") for m in marks))
+    x = ids.select("s1_id").distinct().join(sums, "s1_id", "left").na.fill(0)
+    means = x.agg(*(F.avg(f05(F.col("_n"), F.col(f"{m}p"), F.col(f"{m}t"))).alias(m) for m in marks))
+    return means.select(F.inline(F.array(*(F.struct(F.lit(n).alias("selection"), F.col(m).alias("macro_f05")) for n, m in zip(names, marks, strict=True)))))
 
 
 def diagnose(truth: DataFrame, selected: DataFrame, groups: DataFrame, n: Column) -> DataFrame:

@@ -13,6 +13,7 @@ from linkmill.operators import evaluation as E
 from linkmill.operators import features as X
 from linkmill.operators import learning as L
 from linkmill.operators import records as R
+from linkmill.operators import rules
 from linkmill.plans import record_queries as Q
 from linkmill.sources import files
 
@@ -186,3 +187,50 @@ def test_queries_without_sql_cover_all_candidates(spark):
         assert name not in entry.oracle_sql() and keys(queries[name](spark, d)) == every, name
     assert keys(queries["pair_similarity"](spark, d)) == keys(queries["rerank_score"](spark, d))
     assert keys(Q.rule_pairs(spark, d)) == every
+
+
+def test_partial_ratio_of_equally_long_strings_takes_the_better_direction():
+    assert abs(S.partial_ratio("bcba", "acbb") - 2 / 3) < 1e-9 and S.partial_ratio("bcba", "acbb") == S.partial_ratio("acbb", "bcba")
+    assert S.partial_ratio("ab", "xaby") == 1.0 and S.partial_ratio("", "a") == 0.0
+
+
+def test_legal_forms_and_empty_addresses(spark):
+    names = ["Dupont S.A.R.L", "E.I. Martin & Cie", "s a s u 3 sa", "s.a.s. s a", "sarlu nord", None]
+    rows = spark.createDataFrame([(n,) for n in names], "n string").select(T.legal_forms_spaced(F.col("n")).alias("f")).collect()
+    assert [r.f for r in rows[:5]] == [["sarl"], ["cie", "ei"], ["sa", "sasu"], ["sa", "sas"], []]
+    given = [None, "", " NULL ", "<null>", "None", "na", "-", "n/a", "1 rue"]
+    rows = spark.createDataFrame([(a,) for a in given], "a string").select(T.address_missing(F.col("a")).alias("e")).collect()
+    assert [r.e for r in rows] == [True] * 5 + [False] * 4
+
+
+def test_a_namesake_of_another_country_does_not_forbid_a_filler(spark):
+    records = [("S1-1", "alpha works", "5 long street", "A"), ("S2-1", "alpha works group", "5 long street", "A"), ("S1-2", "alpha works group", "5 other road", "B")]
+    frame = spark.createDataFrame(records, "entity_id string, business_name string, business_address string, country string")
+    pairs = spark.createDataFrame([("S1-1", "S2-1", "A")], "s1_id string, cand_id string, country string")
+    found = rules.filler_swap(pairs, frame, {"A": ["group"], "B": ["group"]}, [])
+    assert [tuple(r) for r in found.collect()] == [("S1-1", "S2-1")]
+    same = frame.withColumn("country", F.lit("A"))
+    assert rules.filler_swap(pairs, same, {"A": ["group"]}, []).collect() == []
+
+
+def test_cells_of_sibling_pairs(spark):
+    rows = [("a", "x", ["n"], ["n"], "5", "5", 0.95), ("a", "y", ["n"], ["n", "sa"], "5", "9", 0.5), ("a", "z", ["n"], ["n", "b"], "5", None, 0.5), ("b", "w", ["n"], ["n"], "5", "5", 0.95)]
+    frame = spark.createDataFrame(rows, "s1_id string, cand_id string, q_ntoks array<string>, t_ntoks array<string>, q_num string, t_num string, p double")
+    got = {r.cand_id: r.cell for r in X.sibling_pairs(frame, ["sa"]).collect()}
+    assert got == {"x": "none|same|free", "y": "legal|near|anch", "z": "word|missing|anch", "w": "none|same|free"}
+
+
+def test_one_pass_evaluation_equals_one_by_one(spark):
+    rnd = random.Random(4)
+    pairs = [(f"e{rnd.randrange(30)}", f"r{rnd.randrange(50)}", round(rnd.random(), 3)) for _ in range(200)]
+    pairs = list({p[:2]: p for p in pairs}.values())
+    truth = [p[:2] for p in pairs if rnd.random() < 0.4] + [("e1", "gone"), ("none", "r1")]
+    frame = spark.createDataFrame(pairs, "s1_id string, cand_id string, p double")
+    true = spark.createDataFrame(truth, "s1_id string, cand_id string")
+    ids = spark.createDataFrame([(f"e{k}",) for k in range(35)], "s1_id string")
+    got = {r.selection: r.macro_f05 for r in E.evaluate(true, frame, ids).collect()}
+    owned = A.one_owner(frame)
+    want = {"ef05": A.select_ef05(owned)} | {f"thr_{t}": A.select_threshold(owned, t) for t in (0.3, 0.4, 0.5, 0.6)}
+    assert set(got) == set(want)
+    for name, selected in want.items():
+        assert abs(got[name] - E.macro_f05(true, selected, ids).first().macro_f05) < 1e-12
