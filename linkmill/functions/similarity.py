@@ -35,14 +35,8 @@ def ratio(a: str, b: str) -> float:
     return 2 * lcs_length(a, b) / total if total else 1.0
 
 
-def partial_ratio(a: str, b: str) -> float:
-    """The best ratio of the shorter string to a stretch of the longer, no longer than itself."""
-    if len(a) > len(b):
-        a, b = b, a
-    if not a:
-        return 1.0 if not b else 0.0
-    if a in b:
-        return 1.0
+def best_stretch(a: str, b: str) -> float:
+    """The best ratio of a to a stretch of b that is no longer than a; b is not shorter."""
     n, best = len(a), 0.0
     letters = set(a)
     for start in range(1 - n, len(b)):
@@ -53,6 +47,19 @@ def partial_ratio(a: str, b: str) -> float:
     return best
 
 
+def partial_ratio(a: str, b: str) -> float:
+    """The best ratio of the shorter string to a stretch of the longer, no longer than itself; of two equally
+    long strings the better of both directions."""
+    if len(a) > len(b):
+        a, b = b, a
+    if not a:
+        return 1.0 if not b else 0.0
+    if a in b:
+        return 1.0
+    best = best_stretch(a, b)
+    return max(best, best_stretch(b, a)) if len(a) == len(b) else best
+
+
 def token_sort_ratio(a: str, b: str) -> float:
     """S03."""
     return ratio(" ".join(sorted(a.split())), " ".join(sorted(b.split())))

@@ -167,21 +167,22 @@ def fold_key(name: Column) -> Column:
     return F.regexp_replace(folded(name), " +", "")
 
 
-# Spaced spellings of legal forms.
-SPACED_FORMS = [("s a r l u", "sarlu"), ("s a r l", "sarl"), ("s a s u", "sasu"), ("s a s", "sas"), ("e u r l", "eurl"), ("s n c", "snc"), ("s c i", "sci"), ("s a", "sa")]
+# Spaced spellings of legal forms, and the forms.
+SPACED_FORMS = [("s a r l", "sarl"), ("s a s u", "sasu"), ("s a s", "sas"), ("e i", "ei"), ("s c i", "sci"), ("s n c", "snc"), ("s a", "sa")]
+LEGAL_FORMS = ["sas", "sasu", "sarl", "eurl", "sa", "sci", "snc", "ei", "cie"]
 
 
 def legal_forms_spaced(name: Column) -> Column:
-    """Legal forms in a name, spaced spellings included; sorted and distinct."""
-    plain = F.concat(F.lit(" "), F.trim(F.regexp_replace(folded(name), " +", " ")), F.lit(" "))
+    """Legal forms in a name, spaced spellings included, digits as blanks; sorted and distinct."""
+    plain = F.regexp_replace(folded(name), "[^a-z ]", " ")
     for spaced, joined in SPACED_FORMS:
-        plain = F.replace(plain, F.lit(f" {spaced} "), F.lit(f" {joined} "))
-    forms = F.array(*map(F.lit, ["sarl", "sas", "sasu", "eurl", "snc", "sci", "sa", "ei"]))
-    return F.array_sort(F.array_distinct(F.filter(F.split(F.trim(plain), " "), lambda t: F.array_contains(forms, t))))
+        plain = F.regexp_replace(plain, rx(rf"\b{spaced}\b"), joined)
+    forms = F.array(*map(F.lit, LEGAL_FORMS))
+    return F.array_sort(F.array_distinct(F.filter(F.split(plain, " "), lambda t: F.array_contains(forms, t))))
 
 
 # Addresses that stand for none.
-EMPTY_ADDRESSES = ["", "<null>", "null", "none", "n/a", "na", "-"]
+EMPTY_ADDRESSES = ["", "null", "<null>", "none"]
 
 
 def address_missing(address: Column) -> Column:
@@ -195,6 +196,7 @@ def form_classes(full: Column) -> Column:
     return F.array_sort(F.array_distinct(F.filter(F.transform(F.split(full, " "), lambda t: F.try_element_at(words, t)), lambda t: t.isNotNull())))
 
 
+# Words for a unit, here and the patterns below.
 UNIT_WORDS = "flat unit apt apartment suite ste room rm office shop door plot floor bldg building block".split()
 
 

@@ -234,15 +234,19 @@ def unsure_group() -> Column:
     return F.when(error_group() != "rest", error_group()).when(hi, "rest, both agree").when(F.col("n_tset") >= 0.9, "rest, name agrees").otherwise("rest, name differs")
 
 
-def sibling_pairs(x: DataFrame) -> DataFrame:
-    """the words a record adds and lacks, the relation of the numbers, and the cell. Needs q_ntoks, t_ntoks, q_num, t_num."""
+def sibling_pairs(x: DataFrame, form_words: list[str], sure: float = 0.9) -> DataFrame:
+    """the words a record adds and lacks, the relation of the numbers, and the cell: what is added (nothing,
+    legal forms alone, other words), how the numbers relate, and whether another pair of the entity with the same number
+    is sure. Needs q_ntoks, t_ntoks, q_num, t_num, p."""
     qi, ti = (F.expr(f"try_cast(nullif(regexp_extract({s}_num, '^([0-9]+)', 1), '') as bigint)") for s in "qt")
     added, missing = F.array_except("t_ntoks", "q_ntoks"), F.array_except("q_ntoks", "t_ntoks")
-    words = F.when((F.size(added) == 0) & (F.size(missing) == 0), "same").when(F.size(missing) == 0, "added").when(F.size(added) == 0, "dropped").otherwise("swapped")
-    number = F.when(qi.isNull() | ti.isNull(), "none").when(qi == ti, "equal").when(F.abs(qi - ti) <= 10, "near").otherwise("far")
+    forms = F.array(*map(F.lit, form_words))
+    words = F.when(F.size(added) == 0, "none").when(F.forall(added, lambda w: F.array_contains(forms, w)), "legal").otherwise("word")
+    number = F.when(qi.isNull() | ti.isNull(), "missing").when(qi == ti, "same").when(F.abs(qi - ti) <= 10, "near").otherwise("far")
     x = x.withColumns({"n_added": F.size(added), "n_missing": F.size(missing), "num_offset": ti - qi, "words": words, "number": number})
-    x = x.withColumn("anchored", flag(F.max(flag((words == "same") & (number == "equal"))).over(by_s1()) == 1))
-    return x.withColumn("cell", F.concat_ws("/", "words", "number", F.when(F.col("anchored") == 1, "anchor").otherwise("free")))
+    own = flag((F.col("number") == "same") & (F.col("p") >= sure))
+    x = x.withColumn("anchored", flag(F.sum(own).over(by_s1()) - own >= 1))
+    return x.withColumn("cell", F.concat_ws("|", "words", "number", F.when(F.col("anchored") == 1, "anch").otherwise("free")))
 
 
 def empty_address_signals(x: DataFrame) -> DataFrame:

@@ -55,13 +55,13 @@ def vocab_swap(pairs: DataFrame, records: DataFrame, extended: bool = False, fil
 
 
 def filler_swap(pairs: DataFrame, records: DataFrame, fillers: dict[str, list[str]] = FILLERS, sibling_also: list[str] = SIBLING_ALSO) -> DataFrame:
-    """One filler added, at most one word missing, and no entity that bears the record's own name at that number."""
+    """One filler added, at most one word missing, and no entity of the country that bears the record's own name at that number."""
     x = rule_sides(pairs, records).where((F.size("added") == 1) & (F.size("missing") <= 1))
     a = F.get("added", F.lit(0))
     x = x.where(F.array_contains(filler_list(F.col("country"), fillers), a) & ((F.size("missing") == 1) | ~a.isin(sibling_also)))
     q = records.where(F.col("entity_id").startswith("S1-"))
-    twins = q.select(F.array_join(T.fold_tokens(F.col("business_name")), " ").alias("k"), T.first_number(F.col("business_address")).alias("tn")).distinct()
-    x = x.withColumn("k", F.array_join("tt", " ")).join(twins, ["k", "tn"], "left_anti")
+    twins = q.select("country", F.array_join(T.fold_tokens(F.col("business_name")), " ").alias("k"), T.first_number(F.col("business_address")).alias("tn")).distinct()
+    x = x.withColumn("k", F.array_join("tt", " ")).join(twins, ["country", "k", "tn"], "left_anti")
     x = x.withColumn("_s", similarity.scores({"p": ("tset", F.col("qa"), F.col("ta"))}))
     return x.where(F.col("_s.p") >= ADDRESS).select("s1_id", "cand_id")
 

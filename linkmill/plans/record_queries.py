@@ -55,10 +55,11 @@ column("strip_addr", STRIP_SQL, lambda: T.strip_address(ADDRESS()))
 column("fold_key", f"regexp_replace({folded_sql('business_name')}, ' +', '', 'g')", lambda: T.fold_key(NAME()))
 column("addr_empty", f"lower(trim(business_address)) IN ({', '.join(repr(x) for x in T.EMPTY_ADDRESSES)})", lambda: T.address_missing(ADDRESS()))
 
-SPACED = f"' ' || trim(regexp_replace({folded_sql('business_name')}, ' +', ' ', 'g')) || ' '"
+SPACED = f"regexp_replace({folded_sql('business_name')}, '[^a-z ]', ' ', 'g')"
 for _a, _b in T.SPACED_FORMS:
-    SPACED = f"replace({SPACED}, ' {_a} ', ' {_b} ')"
-column("legal_forms_fr", f"array_to_string(list_sort(list_distinct(list_filter(string_split(trim({SPACED}), ' '), lambda t: list_contains(['sarl','sas','sasu','eurl','snc','sci','sa','ei'], t)))), ' ')", lambda: F.array_join(T.legal_forms_spaced(NAME()), " "))
+    SPACED = rf"regexp_replace({SPACED}, '\b{_a}\b', '{_b}', 'g')"
+FORM_LIST = ", ".join(map(repr, T.LEGAL_FORMS))
+column("legal_forms_fr", f"array_to_string(list_sort(list_distinct(list_filter(string_split({SPACED}, ' '), lambda t: list_contains([{FORM_LIST}], t)))), ' ')", lambda: F.array_join(T.legal_forms_spaced(NAME()), " "))
 
 
 @query()
@@ -469,18 +470,21 @@ def compound_features(spark, d):
 
 def sibling_input(spark, d):
     x = text_pairs(spark, d).withColumnsRenamed({"q_a_num": "q_num", "t_a_num": "t_num"})
-    return X.sibling_pairs(x.withColumns({f"{s}_ntoks": F.array_distinct(f"{s}_n_toks") for s in "qt"}))
+    x = x.withColumns({f"{s}_ntoks": F.array_distinct(f"{s}_n_toks") for s in "qt"})
+    return X.sibling_pairs(x.withColumn("p", S.jaccard(F.col("q_ntoks"), F.col("t_ntoks"))), SIBLING_WORDS, 0.5)
 
 
-SIB = f"sb AS (SELECT p.q AS s1_id, p.t AS cand_id, len(list_filter(list_distinct(y.n_toks), lambda v: NOT list_contains(x.n_toks, v))) AS a, len(list_filter(list_distinct(x.n_toks), lambda v: NOT list_contains(y.n_toks, v))) AS m, {INT_X} AS qi, {INT_Y} AS ti FROM pool p {BOTH}), sw AS (SELECT *, CASE WHEN a = 0 AND m = 0 THEN 'same' WHEN m = 0 THEN 'added' WHEN a = 0 THEN 'dropped' ELSE 'swapped' END AS words, CASE WHEN qi IS NULL OR ti IS NULL THEN 'none' WHEN qi = ti THEN 'equal' WHEN abs(qi - ti) <= 10 THEN 'near' ELSE 'far' END AS number FROM sb)"
+SIBLING_WORDS = [*T.LEGAL_FORMS, "ltd", "inc", "gmbh", "the", "of"]
+ADDED_X = "list_filter(list_distinct(y.n_toks), lambda v: NOT list_contains(x.n_toks, v))"
+SIB = f"sb AS (SELECT p.q AS s1_id, p.t AS cand_id, {ADDED_X} AS ws, len(list_filter(list_distinct(x.n_toks), lambda v: NOT list_contains(y.n_toks, v))) AS m, {JACCARD.format(a='x.n_toks', b='y.n_toks')} AS p, {INT_X} AS qi, {INT_Y} AS ti FROM pool p {BOTH}), sw AS (SELECT *, len(ws) AS a, CASE WHEN len(ws) = 0 THEN 'none' WHEN len(list_filter(ws, lambda v: NOT list_contains([{', '.join(map(repr, SIBLING_WORDS))}], v))) = 0 THEN 'legal' ELSE 'word' END AS words, CASE WHEN qi IS NULL OR ti IS NULL THEN 'missing' WHEN qi = ti THEN 'same' WHEN abs(qi - ti) <= 10 THEN 'near' ELSE 'far' END AS number FROM sb), sc AS (SELECT *, (number = 'same' AND p >= 0.5)::INT AS own FROM sw)"
 
 
-@query(with_(*TOP3, SIB, "SELECT s1_id, cand_id, a::INTEGER AS n_added, m::INTEGER AS n_missing, ti - qi AS num_offset FROM sw"))
+@query(with_(*TOP3, SIB, "SELECT s1_id, cand_id, a::INTEGER AS n_added, m::INTEGER AS n_missing, ti - qi AS num_offset FROM sc"))
 def sibling_pairs(spark, d):
     return sibling_input(spark, d).select("s1_id", "cand_id", "n_added", "n_missing", "num_offset")
 
 
-@query(with_(*TOP3, SIB, "SELECT words || '/' || number || '/' || CASE WHEN g THEN 'anchor' ELSE 'free' END AS cell, count(*) AS n FROM (SELECT *, bool_or(words = 'same' AND number = 'equal') OVER (PARTITION BY s1_id) AS g FROM sw) GROUP BY 1"))
+@query(with_(*TOP3, SIB, "SELECT words || '|' || number || '|' || CASE WHEN g - own >= 1 THEN 'anch' ELSE 'free' END AS cell, count(*) AS n FROM (SELECT *, sum(own) OVER (PARTITION BY s1_id) AS g FROM sc) GROUP BY 1"))
 def sibling_cells(spark, d):
     return sibling_input(spark, d).groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
 
@@ -584,7 +588,10 @@ def io_tsv_roundtrip(spark, d):
     import tempfile
 
     rows = records(spark, d).select("entity_id", F.regexp_replace("business_name", r"[\t\n\r]", " ").alias("business_name"), F.regexp_replace("business_address", r"[\t\n\r]", " ").alias("business_address"), "country")
-    folder = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='linkmill-')}"
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and spark.sparkContext.master.partition("[")[0] != "local":
+        raise RuntimeError("on a cluster spark.checkpoint.dir must name a folder that driver and executors share")
+    folder = folder or f"file://{tempfile.mkdtemp(prefix='linkmill-')}"
     import uuid
 
     path = f"{folder.rstrip('/')}/linkmill/tsv-{uuid.uuid4().hex}"
