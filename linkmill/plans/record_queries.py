@@ -213,9 +213,9 @@ def candidates(spark, d):
     return B.generate_candidates(q, t, similar=B.plain_similarity)
 
 
-@query(with_(*KEYED, INDEX, STAGE1, POOL.replace("600", "5"), "SELECT q, t FROM pool"))
+@query(with_(*KEYED, INDEX, STAGE1, POOL, "SELECT q, t FROM pool"))
 def pool_topk(spark, d):
-    return B.pool_topk(stage1(spark, d), 5).select("q", "t")
+    return B.pool_topk(stage1(spark, d)).select("q", "t")
 
 
 @query(with_(*KEYED, INDEX, STAGE1, "SELECT q, t FROM (SELECT *, row_number() OVER (PARTITION BY country, t ORDER BY bscore DESC, q) AS r FROM stage1) WHERE r <= 3"))
@@ -261,10 +261,10 @@ def retrieval_buckets(spark, d):
 GRAMS = "grams AS (SELECT entity_id, country, unnest(list_distinct(list_transform(range(1, length(n_nospace) - 1), lambda i: substr(n_nospace, i, 3)))) AS key FROM recs WHERE length(n_nospace) >= 3)"
 
 
-@query(with_(NORMAL, GRAMS, "ix AS (SELECT country, key, count(*) AS df FROM grams WHERE entity_id NOT LIKE 'S1-%' GROUP BY 1, 2 HAVING count(*) <= 200)", "sc AS (SELECT q.country, q.entity_id AS q, t.entity_id AS t, round(sum(1 / log2(df + 1)), 4) AS score FROM grams q JOIN grams t ON q.country = t.country AND q.key = t.key JOIN ix ON ix.country = t.country AND ix.key = t.key WHERE q.entity_id LIKE 'S1-%' AND t.entity_id NOT LIKE 'S1-%' GROUP BY 1, 2, 3)", "SELECT q, t, score FROM (SELECT *, row_number() OVER (PARTITION BY country, q ORDER BY score DESC, t) AS r FROM sc) WHERE r <= 5"))
+@query(with_(NORMAL, GRAMS, "ix AS (SELECT country, key, count(*) AS df FROM grams WHERE entity_id NOT LIKE 'S1-%' GROUP BY 1, 2 HAVING count(*) <= 2000)", "sc AS (SELECT q.country, q.entity_id AS q, t.entity_id AS t, round(sum(1 / log2(df + 1)), 4) AS score FROM grams q JOIN grams t ON q.country = t.country AND q.key = t.key JOIN ix ON ix.country = t.country AND ix.key = t.key WHERE q.entity_id LIKE 'S1-%' AND t.entity_id NOT LIKE 'S1-%' GROUP BY 1, 2, 3)", "SELECT q, t, score FROM (SELECT *, row_number() OVER (PARTITION BY country, q ORDER BY score DESC, t) AS r FROM sc) WHERE r <= 5"))
 def trigram_route(spark, d):
     q, t = sides(spark, d)
-    return B.trigram_route(q, t, 200, 5).select("q", "t", "score")
+    return B.trigram_route(q, t, k=5).select("q", "t", "score")
 
 
 @query(with_(*CHAIN, "nm AS (SELECT entity_id AS t, country, n_nospace AS k FROM recs WHERE n_nospace <> '' AND entity_id NOT LIKE 'S1-%')", "SELECT DISTINCT c.country, c.q, o.t FROM cands c JOIN nm n ON n.t = c.t AND n.country = c.country JOIN nm o ON o.k = n.k AND o.country = n.country WHERE NOT EXISTS (SELECT 1 FROM cands z WHERE z.q = c.q AND z.t = o.t)"))
@@ -310,20 +310,14 @@ def baseline(spark, d):
 # --- similarities and features -----------------------------------------------------------------
 
 
-def text_pairs(spark, d, pairs: DataFrame | None = None) -> DataFrame:
-    """Pairs of normalised records as q_ and t_ columns: by default only each entity's best 3 of the pool, as the SQL (TOP3) has it."""
+def text_pairs(spark, d) -> DataFrame:
+    """All candidates with their normalised records as q_ and t_ columns; PAIRED is the same in SQL."""
     q, t = sides(spark, d)
-    if pairs is None:
-        pairs = B.pool_topk(stage1(spark, d), 3)
+    pairs = candidates(spark, d).select("country", "q", "t", "bscore", "kbits")
     return B.with_sides(pairs, X.genericness(q), X.genericness(t), [*X.SIDE, "business_address"], (*X.T_ONLY,)).withColumnsRenamed({"q": "s1_id", "t": "cand_id"})
 
 
-def candidate_texts(spark, d) -> DataFrame:
-    """All candidates, for the queries without SQL."""
-    return text_pairs(spark, d, candidates(spark, d).select("country", "q", "t", "bscore", "kbits"))
-
-
-TOP3 = (*KEYED, INDEX, STAGE1, POOL.replace("600", "3"))
+PAIRED = (*KEYED, INDEX, STAGE1, POOL.replace("pool AS", "wide AS"), SIMILAR.replace("FROM pool p", "FROM wide p"), RSCORE, CANDS, "pool AS (SELECT country, q, t, bscore, kbits FROM cands)")
 BOTH = "JOIN recs x ON x.entity_id = p.q JOIN recs y ON y.entity_id = p.t"
 
 
@@ -338,7 +332,7 @@ PLAIN = "regexp_replace({}, '[^a-z0-9 ]', '', 'g')"
 def scorer_query(name: str, kind: str, sql: str | None) -> None:
     def f(spark: SparkSession, d: str) -> DataFrame:
         left, right = (plain(f"{s}_n_nospace") if kind == "jw" else F.col(f"{s}_n_core") for s in "qt")
-        x = (text_pairs if sql else candidate_texts)(spark, d).withColumn("s", S.scores({"v": (kind, left, right)}))
+        x = text_pairs(spark, d).withColumn("s", S.scores({"v": (kind, left, right)}))
         return x.select("s1_id", "cand_id", F.round("s.v", 6).alias("v"))
 
     f.__name__ = name
@@ -347,32 +341,32 @@ def scorer_query(name: str, kind: str, sql: str | None) -> None:
 
 for _n, _kind in (("sim_ratio", "ratio"), ("sim_partial", "partial"), ("sim_tsort", "tsort"), ("sim_tset", "tset")):
     scorer_query(_n, _kind, None)
-scorer_query("sim_jw", "jw", with_(*TOP3, f"SELECT p.q AS s1_id, p.t AS cand_id, round(jaro_winkler_similarity({PLAIN.format('x.n_nospace')}, {PLAIN.format('y.n_nospace')}), 6) AS v FROM pool p {BOTH}"))
+scorer_query("sim_jw", "jw", with_(*PAIRED, f"SELECT p.q AS s1_id, p.t AS cand_id, round(jaro_winkler_similarity({PLAIN.format('x.n_nospace')}, {PLAIN.format('y.n_nospace')}), 6) AS v FROM pool p {BOTH}"))
 
 
-@query(with_(*TOP3, f"SELECT p.q AS s1_id, p.t AS cand_id, levenshtein({PLAIN.format('x.n_core')}, {PLAIN.format('y.n_core')})::INTEGER AS v FROM pool p {BOTH}"))
+@query(with_(*PAIRED, f"SELECT p.q AS s1_id, p.t AS cand_id, levenshtein({PLAIN.format('x.n_core')}, {PLAIN.format('y.n_core')})::INTEGER AS v FROM pool p {BOTH}"))
 def sim_lev(spark, d):
     return text_pairs(spark, d).select("s1_id", "cand_id", F.levenshtein(plain("q_n_core"), plain("t_n_core")).alias("v"))
 
 
-@query(with_(*TOP3, f"SELECT p.q AS s1_id, p.t AS cand_id, round({JACCARD.format(a='x.n_toks', b='y.n_toks')}, 6) AS v FROM pool p {BOTH}"))
+@query(with_(*PAIRED, f"SELECT p.q AS s1_id, p.t AS cand_id, round({JACCARD.format(a='x.n_toks', b='y.n_toks')}, 6) AS v FROM pool p {BOTH}"))
 def jaccard_tokens(spark, d):
     return text_pairs(spark, d).select("s1_id", "cand_id", F.round(S.jaccard(F.col("q_n_toks"), F.col("t_n_toks")), 6).alias("v"))
 
 
 @query()
 def string_features(spark, d):
-    x = X.string_features(candidate_texts(spark, d))
+    x = X.string_features(text_pairs(spark, d))
     return x.select("s1_id", "cand_id", *(F.round(c, 6).alias(c) for c in ("n_tset", "n_tsort", "n_ratio", "n_partial", "n_jw", "a_tset", "a_ratio")))
 
 
-@query(with_(*TOP3, f"SELECT p.q AS s1_id, p.t AS cand_id, round({JACCARD.format(a='x.n_toks', b='y.n_toks')}, 6) AS n_jacc, round({JACCARD.format(a='x.a_toks', b='y.a_toks')}, 6) AS a_jacc, len(x.n_toks)::INTEGER AS q_n_ntok, len(y.n_toks)::INTEGER AS t_n_ntok, len(y.a_toks)::INTEGER AS t_a_ntok FROM pool p {BOTH}"))
+@query(with_(*PAIRED, f"SELECT p.q AS s1_id, p.t AS cand_id, round({JACCARD.format(a='x.n_toks', b='y.n_toks')}, 6) AS n_jacc, round({JACCARD.format(a='x.a_toks', b='y.a_toks')}, 6) AS a_jacc, len(x.n_toks)::INTEGER AS q_n_ntok, len(y.n_toks)::INTEGER AS t_n_ntok, len(y.a_toks)::INTEGER AS t_a_ntok FROM pool p {BOTH}"))
 def token_features(spark, d):
     x = X.token_features(text_pairs(spark, d))
     return x.select("s1_id", "cand_id", F.round("n_jacc", 6).alias("n_jacc"), F.round("a_jacc", 6).alias("a_jacc"), "q_n_ntok", "t_n_ntok", "t_a_ntok")
 
 
-@query(with_(*TOP3, f"SELECT p.q AS s1_id, p.t AS cand_id, (x.a_num <> '' AND y.a_num <> '')::INTEGER AS num_both, (x.a_num <> '' AND x.a_num = y.a_num)::INTEGER AS num_eq, (x.a_street <> '' AND x.a_street = y.a_street)::INTEGER AS street_eq, list_contains(y.a_toks, x.a_num)::INTEGER AS num_in_t, (x.a_num <> '' AND y.a_num <> '' AND x.a_num <> y.a_num)::INTEGER AS num_conflict, (p.t LIKE 'S3-%')::INTEGER AS is_s3 FROM pool p {BOTH}"))
+@query(with_(*PAIRED, f"SELECT p.q AS s1_id, p.t AS cand_id, (x.a_num <> '' AND y.a_num <> '')::INTEGER AS num_both, (x.a_num <> '' AND x.a_num = y.a_num)::INTEGER AS num_eq, (x.a_street <> '' AND x.a_street = y.a_street)::INTEGER AS street_eq, list_contains(y.a_toks, x.a_num)::INTEGER AS num_in_t, (x.a_num <> '' AND y.a_num <> '' AND x.a_num <> y.a_num)::INTEGER AS num_conflict, (p.t LIKE 'S3-%')::INTEGER AS is_s3 FROM pool p {BOTH}"))
 def number_features(spark, d):
     return X.number_features(text_pairs(spark, d)).select("s1_id", "cand_id", "num_both", "num_eq", "street_eq", "num_in_t", "num_conflict", "is_s3")
 
@@ -380,7 +374,7 @@ def number_features(spark, d):
 PIN = "nullif(regexp_extract({}.a_norm, '\\b(\\d{{6}})\\b', 1), '')"
 
 
-@query(with_(*TOP3, f"SELECT p.q AS s1_id, p.t AS cand_id, coalesce({PIN.format('x')} = {PIN.format('y')}, false)::INTEGER AS pin_eq, coalesce({PIN.format('x')} <> {PIN.format('y')}, false)::INTEGER AS pin_conflict FROM pool p {BOTH}"))
+@query(with_(*PAIRED, f"SELECT p.q AS s1_id, p.t AS cand_id, coalesce({PIN.format('x')} = {PIN.format('y')}, false)::INTEGER AS pin_eq, coalesce({PIN.format('x')} <> {PIN.format('y')}, false)::INTEGER AS pin_conflict FROM pool p {BOTH}"))
 def pin_features(spark, d):
     return X.pin_features(text_pairs(spark, d)).select("s1_id", "cand_id", "pin_eq", "pin_conflict")
 
@@ -418,7 +412,7 @@ NUMS = "x.a_num <> '' AND y.a_num <> ''"
 INT_X, INT_Y = (f"try_cast(nullif(regexp_extract({s}.a_num, '^([0-9]+)', 1), '') AS BIGINT)" for s in "xy")
 
 
-@query(with_(*TOP3, f"SELECT p.q AS s1_id, p.t AS cand_id, CASE WHEN {NUMS} THEN abs({INT_X} - {INT_Y}) END AS num_absdiff, round(CASE WHEN {NUMS} AND {INT_X} > 0 THEN abs({INT_X} - {INT_Y}) / {INT_X}::DOUBLE END, 6) AS num_reldiff, ({NUMS} AND x.a_num <> y.a_num AND (starts_with(x.a_num, y.a_num) OR starts_with(y.a_num, x.a_num)))::INTEGER AS num_prefix, CASE WHEN {NUMS} THEN length(x.a_num) - length(y.a_num) END::INTEGER AS num_len_diff, CASE WHEN {NUMS} THEN levenshtein(x.a_num, y.a_num) END::INTEGER AS num_digit_lev FROM pool p {BOTH}"))
+@query(with_(*PAIRED, f"SELECT p.q AS s1_id, p.t AS cand_id, CASE WHEN {NUMS} THEN abs({INT_X} - {INT_Y}) END AS num_absdiff, round(CASE WHEN {NUMS} AND {INT_X} > 0 THEN abs({INT_X} - {INT_Y}) / {INT_X}::DOUBLE END, 6) AS num_reldiff, ({NUMS} AND x.a_num <> y.a_num AND (starts_with(x.a_num, y.a_num) OR starts_with(y.a_num, x.a_num)))::INTEGER AS num_prefix, CASE WHEN {NUMS} THEN length(x.a_num) - length(y.a_num) END::INTEGER AS num_len_diff, CASE WHEN {NUMS} THEN levenshtein(x.a_num, y.a_num) END::INTEGER AS num_digit_lev FROM pool p {BOTH}"))
 def number_relation(spark, d):
     x = X.number_relation(text_pairs(spark, d).withColumnsRenamed({"q_a_num": "q_num", "t_a_num": "t_num"}))
     return x.select("s1_id", "cand_id", "num_absdiff", F.round("num_reldiff", 6).alias("num_reldiff"), "num_prefix", "num_len_diff", "num_digit_lev")
@@ -432,7 +426,7 @@ def legal_forms(spark, d):
     return normal(spark, d).select("entity_id", F.array_join(T.form_classes(F.col("n_full")), " ").alias("forms"))
 
 
-@query(with_(*TOP3, f"f AS (SELECT entity_id, {FORMS} AS f FROM recs)", "SELECT p.q AS s1_id, p.t AS cand_id, len(x.f)::INTEGER AS form_q_n, len(y.f)::INTEGER AS form_t_n, len(list_filter(y.f, lambda v: NOT list_contains(x.f, v)))::INTEGER AS form_added, len(list_filter(x.f, lambda v: NOT list_contains(y.f, v)))::INTEGER AS form_dropped, (len(x.f) > 0 AND len(y.f) > 0 AND len(list_intersect(x.f, y.f)) = 0)::INTEGER AS form_disjoint FROM pool p JOIN f x ON x.entity_id = p.q JOIN f y ON y.entity_id = p.t"))
+@query(with_(*PAIRED, f"f AS (SELECT entity_id, {FORMS} AS f FROM recs)", "SELECT p.q AS s1_id, p.t AS cand_id, len(x.f)::INTEGER AS form_q_n, len(y.f)::INTEGER AS form_t_n, len(list_filter(y.f, lambda v: NOT list_contains(x.f, v)))::INTEGER AS form_added, len(list_filter(x.f, lambda v: NOT list_contains(y.f, v)))::INTEGER AS form_dropped, (len(x.f) > 0 AND len(y.f) > 0 AND len(list_intersect(x.f, y.f)) = 0)::INTEGER AS form_disjoint FROM pool p JOIN f x ON x.entity_id = p.q JOIN f y ON y.entity_id = p.t"))
 def form_relation(spark, d):
     x = text_pairs(spark, d).withColumns({f"{s}_forms": T.form_classes(F.col(f"{s}_n_full")) for s in "qt"})
     return X.form_relation(x).select("s1_id", "cand_id", "form_q_n", "form_t_n", "form_added", "form_dropped", "form_disjoint")
@@ -446,7 +440,7 @@ def raw_addr_attrs(spark, d):
     return records(spark, d).select("entity_id", F.array_join(T.number_tokens(F.col("business_address")), " ").alias("numtoks"))
 
 
-@query(with_(*TOP3, "SELECT p.q AS s1_id, p.t AS cand_id, (x.a_num <> '' AND x.a_num = y.a_num)::INTEGER AS self_exact, sum((x.a_num <> '' AND x.a_num = y.a_num)::INT) OVER (PARTITION BY p.t)::BIGINT AS cand_exact_s1 FROM pool p " + BOTH))
+@query(with_(*PAIRED, "SELECT p.q AS s1_id, p.t AS cand_id, (x.a_num <> '' AND x.a_num = y.a_num)::INTEGER AS self_exact, sum((x.a_num <> '' AND x.a_num = y.a_num)::INT) OVER (PARTITION BY p.t)::BIGINT AS cand_exact_s1 FROM pool p " + BOTH))
 def cross_s1_exact(spark, d):
     x = text_pairs(spark, d).withColumnsRenamed({"q_a_num": "q_num", "t_a_num": "t_num"}).withColumn("sim_n", F.lit(1.0))
     return X.cross_s1_exact(x).select("s1_id", "cand_id", "self_exact", "cand_exact_s1")
@@ -455,13 +449,13 @@ def cross_s1_exact(spark, d):
 TWIN = f"tw AS (SELECT p.q AS s1_id, p.t AS cand_id, x.a_num AS qn, y.a_num AS tn, {JACCARD.format(a='x.n_toks', b='y.n_toks')} >= 0.1 AS hi FROM pool p {BOTH})"
 
 
-@query(with_(*TOP3, TWIN, "u AS (SELECT *, sum((hi AND qn <> '' AND tn <> '' AND qn = tn)::INT) OVER s::BIGINT AS s1_num_support, sum(hi::INT) OVER s::BIGINT AS s1_hi_name_n, CASE WHEN hi AND tn <> '' THEN sum(hi::INT) OVER (PARTITION BY s1_id, tn) ELSE 0 END::BIGINT AS cand_num_support FROM tw WINDOW s AS (PARTITION BY s1_id))", "SELECT s1_id, cand_id, s1_num_support, s1_hi_name_n, cand_num_support, (hi AND qn <> '' AND tn <> '' AND qn <> tn AND s1_num_support >= 1)::INTEGER AS twin_flag FROM u"))
+@query(with_(*PAIRED, TWIN, "u AS (SELECT *, sum((hi AND qn <> '' AND tn <> '' AND qn = tn)::INT) OVER s::BIGINT AS s1_num_support, sum(hi::INT) OVER s::BIGINT AS s1_hi_name_n, CASE WHEN hi AND tn <> '' THEN sum(hi::INT) OVER (PARTITION BY s1_id, tn) ELSE 0 END::BIGINT AS cand_num_support FROM tw WINDOW s AS (PARTITION BY s1_id))", "SELECT s1_id, cand_id, s1_num_support, s1_hi_name_n, cand_num_support, (hi AND qn <> '' AND tn <> '' AND qn <> tn AND s1_num_support >= 1)::INTEGER AS twin_flag FROM u"))
 def twin_features(spark, d):
     x = text_pairs(spark, d).withColumnsRenamed({"q_a_num": "q_num", "t_a_num": "t_num"}).withColumns({"n_tset": S.jaccard(F.col("q_n_toks"), F.col("t_n_toks")), "self_exact": F.lit(0), "cand_exact_s1": F.lit(0)})
     return X.twin_features(x, 0.1).select("s1_id", "cand_id", "s1_num_support", "s1_hi_name_n", "cand_num_support", "twin_flag")
 
 
-@query(with_(*TOP3, f"SELECT p.q AS s1_id, p.t AS cand_id, len(list_filter(list_distinct(x.n_toks), lambda v: NOT list_contains(y.n_toks, v)))::INTEGER AS name_q_only, len(list_filter(list_distinct(y.n_toks), lambda v: NOT list_contains(x.n_toks, v)))::INTEGER AS name_t_only FROM pool p {BOTH}"))
+@query(with_(*PAIRED, f"SELECT p.q AS s1_id, p.t AS cand_id, len(list_filter(list_distinct(x.n_toks), lambda v: NOT list_contains(y.n_toks, v)))::INTEGER AS name_q_only, len(list_filter(list_distinct(y.n_toks), lambda v: NOT list_contains(x.n_toks, v)))::INTEGER AS name_t_only FROM pool p {BOTH}"))
 def compound_features(spark, d):
     x = text_pairs(spark, d)
     x = x.withColumns({f"{s}_numtoks": T.number_tokens(F.col(f"{s}_business_address")) for s in "qt"} | {f"{s}_unit": T.unit_number(F.col(f"{s}_business_address")) for s in "qt"} | {f"{s}_ntoks": F.array_distinct(f"{s}_n_toks") for s in "qt"})
@@ -479,17 +473,17 @@ ADDED_X = "list_filter(list_distinct(y.n_toks), lambda v: NOT list_contains(x.n_
 SIB = f"sb AS (SELECT p.q AS s1_id, p.t AS cand_id, {ADDED_X} AS ws, len(list_filter(list_distinct(x.n_toks), lambda v: NOT list_contains(y.n_toks, v))) AS m, {JACCARD.format(a='x.n_toks', b='y.n_toks')} AS p, {INT_X} AS qi, {INT_Y} AS ti FROM pool p {BOTH}), sw AS (SELECT *, len(ws) AS a, CASE WHEN len(ws) = 0 THEN 'none' WHEN len(list_filter(ws, lambda v: NOT list_contains([{', '.join(map(repr, SIBLING_WORDS))}], v))) = 0 THEN 'legal' ELSE 'word' END AS words, CASE WHEN qi IS NULL OR ti IS NULL THEN 'missing' WHEN qi = ti THEN 'same' WHEN abs(qi - ti) <= 10 THEN 'near' ELSE 'far' END AS number FROM sb), sc AS (SELECT *, (number = 'same' AND p >= 0.5)::INT AS own FROM sw)"
 
 
-@query(with_(*TOP3, SIB, "SELECT s1_id, cand_id, a::INTEGER AS n_added, m::INTEGER AS n_missing, ti - qi AS num_offset FROM sc"))
+@query(with_(*PAIRED, SIB, "SELECT s1_id, cand_id, a::INTEGER AS n_added, m::INTEGER AS n_missing, ti - qi AS num_offset FROM sc"))
 def sibling_pairs(spark, d):
     return sibling_input(spark, d).select("s1_id", "cand_id", "n_added", "n_missing", "num_offset")
 
 
-@query(with_(*TOP3, SIB, "SELECT words || '|' || number || '|' || CASE WHEN g - own >= 1 THEN 'anch' ELSE 'free' END AS cell, count(*) AS n FROM (SELECT *, sum(own) OVER (PARTITION BY s1_id) AS g FROM sc) GROUP BY 1"))
+@query(with_(*PAIRED, SIB, "SELECT words || '|' || number || '|' || CASE WHEN g - own >= 1 THEN 'anch' ELSE 'free' END AS cell, count(*) AS n FROM (SELECT *, sum(own) OVER (PARTITION BY s1_id) AS g FROM sc) GROUP BY 1"))
 def sibling_cells(spark, d):
     return sibling_input(spark, d).groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(with_(*TOP3, f"SELECT p.q AS s1_id, p.t AS cand_id, sum((x.n_core = y.n_core)::INT) OVER (PARTITION BY p.t)::BIGINT AS owners_same_name, sum((x.n_core = y.n_core)::INT) OVER (PARTITION BY p.q)::BIGINT AS cands_same_name FROM pool p {BOTH} WHERE y.a_street = ''"))
+@query(with_(*PAIRED, f"SELECT p.q AS s1_id, p.t AS cand_id, sum((x.n_core = y.n_core)::INT) OVER (PARTITION BY p.t)::BIGINT AS owners_same_name, sum((x.n_core = y.n_core)::INT) OVER (PARTITION BY p.q)::BIGINT AS cands_same_name FROM pool p {BOTH} WHERE y.a_street = ''"))
 def empty_addr_signals(spark, d):
     x = text_pairs(spark, d).withColumns({"t_a_empty": F.col("t_a_street") == "", "n_core_eq": F.col("q_n_core") == F.col("t_n_core")})
     return X.empty_address_signals(x).select("s1_id", "cand_id", "owners_same_name", "cands_same_name")
@@ -498,9 +492,9 @@ def empty_addr_signals(spark, d):
 # --- texts, rules, diagnostics -----------------------------------------------------------------
 
 
-@query(with_(*TOP3, "SELECT p.q AS s1_id, p.t AS cand_id, substr(x.business_name || ' ; ' || x.business_address, 1, 400) AS a_txt, substr(y.business_name || ' ; ' || y.business_address, 1, 400) AS b_txt FROM pool p " + BOTH))
+@query(with_(*PAIRED, "SELECT p.q AS s1_id, p.t AS cand_id, substr(x.business_name || ' ; ' || x.business_address, 1, 400) AS a_txt, substr(y.business_name || ' ; ' || y.business_address, 1, 400) AS b_txt FROM pool p " + BOTH))
 def pair_text(spark, d):
-    pairs = B.pool_topk(stage1(spark, d), 3).select(F.col("q").alias("s1_id"), F.col("t").alias("cand_id"))
+    pairs = candidates(spark, d).select(F.col("q").alias("s1_id"), F.col("t").alias("cand_id"))
     return L.pair_text(pairs, records(spark, d)).select("s1_id", "cand_id", "a_txt", "b_txt")
 
 
@@ -541,18 +535,18 @@ def added_pairs(spark, d):
     return L.label_join(x.withColumn("added", F.array_except("t_toks", "q_toks")), record_truth(records(spark, d)))
 
 
-@query(with_(*TOP3, TRUTH, ADDED, "SELECT word, count(*) AS n, sum(y)::BIGINT AS true_n FROM (SELECT unnest(added) AS word, y FROM ad) GROUP BY 1"))
+@query(with_(*PAIRED, TRUTH, ADDED, "SELECT word, count(*) AS n, sum(y)::BIGINT AS true_n FROM (SELECT unnest(added) AS word, y FROM ad) GROUP BY 1"))
 def added_tokens(spark, d):
     return E.added_tokens(added_pairs(spark, d))
 
 
-@query(with_(*TOP3, TRUTH, ADDED, "bad AS (SELECT word FROM (SELECT unnest(added) AS word, y FROM ad) GROUP BY 1 HAVING count(*) >= 3 AND avg(y) <= 0.01)", "hit AS (SELECT DISTINCT s1_id, cand_id FROM (SELECT s1_id, cand_id, unnest(added) AS word FROM ad) SEMI JOIN bad USING (word))", "SELECT a.s1_id, a.cand_id, round(CASE WHEN h.s1_id IS NOT NULL THEN 0.02 / 1.02 ELSE 0.5 END, 6)::DOUBLE AS p FROM ad a LEFT JOIN hit h ON h.s1_id = a.s1_id AND h.cand_id = a.cand_id"))
+@query(with_(*PAIRED, TRUTH, ADDED, "bad AS (SELECT word FROM (SELECT unnest(added) AS word, y FROM ad) GROUP BY 1 HAVING count(*) >= 3 AND avg(y) <= 0.01)", "hit AS (SELECT DISTINCT s1_id, cand_id FROM (SELECT s1_id, cand_id, unnest(added) AS word FROM ad) SEMI JOIN bad USING (word))", "SELECT a.s1_id, a.cand_id, round(CASE WHEN h.s1_id IS NOT NULL THEN 0.02 / 1.02 ELSE 0.5 END, 6)::DOUBLE AS p FROM ad a LEFT JOIN hit h ON h.s1_id = a.s1_id AND h.cand_id = a.cand_id"))
 def qualifier_veto(spark, d):
     x = added_pairs(spark, d).withColumn("p", F.lit(0.5))
     return rules.qualifier_veto(x, rules.zero_words(x, 3)).select("s1_id", "cand_id", F.round("p", 6).alias("p"))
 
 
-@query(with_(*TOP3, f"f AS (SELECT entity_id, {FORMS} AS f FROM recs)", "SELECT p.q AS s1_id, p.t AS cand_id, round(CASE WHEN len(x.f) > 0 AND len(y.f) > 0 AND len(list_intersect(x.f, y.f)) = 0 THEN 0.1 / 1.1 ELSE 0.5 END, 6)::DOUBLE AS p FROM pool p JOIN f x ON x.entity_id = p.q JOIN f y ON y.entity_id = p.t"))
+@query(with_(*PAIRED, f"f AS (SELECT entity_id, {FORMS} AS f FROM recs)", "SELECT p.q AS s1_id, p.t AS cand_id, round(CASE WHEN len(x.f) > 0 AND len(y.f) > 0 AND len(list_intersect(x.f, y.f)) = 0 THEN 0.1 / 1.1 ELSE 0.5 END, 6)::DOUBLE AS p FROM pool p JOIN f x ON x.entity_id = p.q JOIN f y ON y.entity_id = p.t"))
 def legalform_penalty(spark, d):
     x = text_pairs(spark, d).withColumns({f"{s}_forms": T.form_classes(F.col(f"{s}_n_full")) for s in "qt"} | {"p": F.lit(0.5)})
     return rules.legalform_penalty(x).select("s1_id", "cand_id", F.round("p", 6).alias("p"))
