@@ -162,9 +162,12 @@ def strip_address(address: Column) -> Column:
     return F.trim(F.regexp_replace(plain, r"\s+", " "))
 
 
-def fold_key(name: Column) -> Column:
-    """The folded name without blanks."""
-    return F.regexp_replace(folded(name), " +", "")
+def fold_key(name: Column, legal: bool = True) -> Column:
+    """The folded name without blanks, and without legal words if ``legal`` is false."""
+    plain = folded(name)
+    if not legal:
+        plain = F.regexp_replace(plain, r"\b(" + "|".join(LEGAL_WORDS) + r")\b", " ")
+    return F.regexp_replace(plain, " +", "")
 
 
 # Spaced spellings of legal forms, and the forms.

@@ -7,13 +7,15 @@ from pyspark.sql import functions as F
 
 from linkmill.functions import similarity
 from linkmill.functions import text as T
-from linkmill.operators.assignment import odds_factor
+from linkmill.operators.assignment import exclusive_owner, odds_factor, one_owner, select_ef05
 
 # Words that noise adds, per country; those that name siblings too; words that are never nouns.
 FILLERS = {"US": ["center", "services", "service", "partners"], "India": ["center", "services", "service", "partners"], "France": ["services", "developpement", "groupe", "associes", "fils", "france"]}
 SIBLING_ALSO = ["france", "developpement", "groupe"]
 NO_NOUNS = ["and", "the", "of", "et", "de", "du", "des", "la", "le", "les", "au", "aux", "en", "sur"]
 VOCABULARY, VOCABULARY_WIDE, TYPO, ADDRESS = 300, 30, 0.70, 0.85
+# What the two kinds of swaps make of a probability.
+NOISE_LEAST, NOUN_MOST = 0.92, 0.003
 
 
 def rule_sides(pairs: DataFrame, records: DataFrame) -> DataFrame:
@@ -66,6 +68,42 @@ def filler_swap(pairs: DataFrame, records: DataFrame, fillers: dict[str, list[st
     return x.where(F.col("_s.p") >= ADDRESS).select("s1_id", "cand_id")
 
 
+def swap_kinds(pairs: DataFrame, records: DataFrame, fillers: dict[str, list[str]] = FILLERS, sibling_also: list[str] = SIBLING_ALSO, least: int = VOCABULARY) -> DataFrame:
+    """s1_id, cand_id, kind: noise (a filler swapped in) or noun (another noun of the vocabulary); noise goes first."""
+    noise = filler_swap(pairs, records, fillers, sibling_also).withColumn("kind", F.lit("noise"))
+    noun = vocab_swap(pairs, records, fillers=fillers, least=least).withColumn("kind", F.lit("noun"))
+    return noise.unionByName(noun).groupBy("s1_id", "cand_id").agg(F.min("kind").alias("kind"))
+
+
+def apply_swaps(pairs: DataFrame, kinds: DataFrame, which: tuple[str, ...] = ("noise", "noun"), col: str = "p") -> DataFrame:
+    """Noise lifts a probability to a least value, a noun holds it below a greatest one."""
+    x = pairs.join(kinds.where(F.col("kind").isin(*which)), ["s1_id", "cand_id"], "left")
+    p = F.when(F.col("kind") == "noise", F.greatest(F.col(col), F.lit(NOISE_LEAST))).when(F.col("kind") == "noun", F.least(F.col(col), F.lit(NOUN_MOST)))
+    return x.withColumn(col, F.coalesce(p, F.col(col))).drop("kind")
+
+
+def selected(pairs: DataFrame, col: str = "p") -> DataFrame:
+    """Owner probabilities, one owner, the best expected F0.5."""
+    return select_ef05(one_owner(exclusive_owner(pairs, col), col), col)
+
+
+def rescue(pairs: DataFrame, records: DataFrame, least: float = 0.9) -> tuple[DataFrame, DataFrame]:
+    """The selection, and what to add to it: records with an entity's folded name and an address like
+    its own, if that holds for one entity only, the entity has pairs and nobody owns the record yet.
+
+    pairs: s1_id, cand_id, p. Both results: s1_id, cand_id.
+    """
+    chosen = selected(pairs).select("s1_id", "cand_id")
+    sides = records.select("entity_id", "country", T.fold_key(F.col("business_name"), legal=False).alias("k"), T.strip_address(F.col("business_address")).alias("a"))
+    reference = F.col("entity_id").startswith("S1-")
+    q = sides.where(reference & (F.char_length("k") >= 4)).select("country", "k", F.col("entity_id").alias("s1_id"), F.col("a").alias("qa"))
+    t = sides.where(~reference & (F.char_length("a") > 3)).select("country", "k", F.col("entity_id").alias("cand_id"), F.col("a").alias("ta"))
+    near = q.join(t, ["country", "k"]).withColumn("_s", similarity.scores({"p": ("tset", F.col("qa"), F.col("ta"))})).where(F.col("_s.p") >= least)
+    one = near.groupBy("cand_id").agg(F.count(F.lit(1)).alias("n"), F.min("s1_id").alias("s1_id")).where("n = 1").select("s1_id", "cand_id")
+    added = one.join(pairs.select("s1_id").distinct(), "s1_id", "left_semi").join(chosen.select("cand_id"), "cand_id", "left_anti")
+    return chosen, added.select("s1_id", "cand_id")
+
+
 def zero_words(labelled: DataFrame, least: int = 30, share: float = 0.01) -> DataFrame:
     """Words whose addition hardly ever goes with a match. labelled: added, y."""
     words = labelled.select(F.explode("added").alias("word"), "y").groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.avg("y").alias("rate"))

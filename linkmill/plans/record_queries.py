@@ -521,10 +521,88 @@ def vocab_swap(spark, d):
     return rules.vocab_swap(rule_pairs(spark, d), records(spark, d), least=3, wide=2, extended=True)
 
 
+FILLER_WORDS = {c: ["the", "of", "le", "la", "de", "der", "die"] for c in ("en", "fr", "de", "es")}
+
+
 @query()
 def filler_swap(spark, d):
-    words = {c: ["the", "of", "le", "la", "de", "der", "die"] for c in ("en", "fr", "de", "es")}
-    return rules.filler_swap(rule_pairs(spark, d), records(spark, d), words)
+    return rules.filler_swap(rule_pairs(spark, d), records(spark, d), FILLER_WORDS)
+
+
+@query()
+def swap_rules(spark, d):
+    rows = rule_pairs(spark, d).withColumn("p", F.lit(0.5))
+    kinds = rules.swap_kinds(rows.drop("p"), records(spark, d), FILLER_WORDS, least=3)
+    return rules.apply_swaps(rows, kinds).select("s1_id", "cand_id", "p")
+
+
+@query()
+def rescue(spark, d):
+    pairs = candidates(spark, d).select(F.col("q").alias("s1_id"), F.col("t").alias("cand_id"), F.least(F.col("rscore") / 3, F.lit(1.0)).alias("p"))
+    return rules.rescue(pairs, records(spark, d))[1]
+
+
+# --- from records to a report ------------------------------------------------------------------
+
+#: What the models see: context, names, addresses and numbers.
+LEARNED = ["rscore", "bscore", "sim_n", "rev_rank", "n_cands_s1", "n_s1_cand", "margin_s1", "margin_cand", "n_jacc", "a_jacc", "num_both", "num_eq", "street_eq", "num_conflict", "q_n_core_cnt", "t_n_core_cnt"]
+SMALL = {"maxIter": 5, "maxDepth": 3, "seed": 1}
+
+
+def learned_pairs(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Labelled pairs with their features, written once; and the normalised records."""
+    q, t = sides(spark, d)
+    c = candidates(spark, d).select(F.col("q").alias("s1_id"), F.col("t").alias("cand_id"), "country", "rscore", "bscore", "sim_n")
+    x = L.label_join(X.pair_features(c, q, t), record_truth(records(spark, d)))
+    return x.select("s1_id", "cand_id", "country", "y", *LEARNED).persist(), q.unionByName(t)
+
+
+@query()
+def stage2_oof(spark, d):
+    x, every = learned_pairs(spark, d)
+    first, _ = L.oof(x, LEARNED, "gbt", 2, **SMALL)
+    out, _ = L.stage_two(x, first, LEARNED, every.select("entity_id", "a_num", "n_core"), "gbt", 2, **SMALL)
+    return out.select("s1_id", "cand_id", "y", F.round("p", 6).alias("p"))
+
+
+@query()
+def predict(spark, d):
+    """The whole path: normalise, block, features, two model families out of fold, blend, owners, selection, report by country."""
+    x, _ = learned_pairs(spark, d)
+    trees, _ = L.oof(x, LEARNED, "gbt", 2, **SMALL)
+    forest, _ = L.oof(x, LEARNED, "rf", 2, numTrees=10, maxDepth=5, seed=1)
+    both = trees.select("s1_id", "cand_id", "country", "y", F.col("p").alias("m1")).join(forest.select("s1_id", "cand_id", F.col("p").alias("m2")), ["s1_id", "cand_id"])
+    best = L.blend_weights(both, ["m1", "m2"]).first()
+    chosen = rules.selected(L.predict_blend(both, {"m1": best.w_m1, "m2": best.w_m2}))
+    q, _ = sides(spark, d)
+    report = E.f05_report(record_truth(records(spark, d)), chosen, q.select(F.col("entity_id").alias("s1_id"), "country"))
+    return report.withColumn("f05", F.round("f05", 6))
+
+
+@query()
+def self_training(spark, d):
+    """One country left out: its pairs scored before and after pseudo-labels."""
+    x, _ = learned_pairs(spark, d)
+    first, second = L.self_training(x.where("country <> 'de'"), x.where("country = 'de'"), LEARNED, "gbt", **SMALL)
+    return first.select("s1_id", "cand_id", F.round("p", 6).alias("p_before")).join(second.select("s1_id", "cand_id", F.round("p", 6).alias("p_after")), ["s1_id", "cand_id"])
+
+
+@query()
+def ablation(spark, d):
+    x, _ = learned_pairs(spark, d)
+    out = L.ablation(x, LEARNED, {"context": LEARNED[3:8], "numbers": LEARNED[10:14]}, [0.5], "lr", maxIter=10)
+    return out.withColumn("loss", F.round("loss", 6))
+
+
+@query()
+def adversarial_weights(spark, d):
+    """Entities of all other countries weighted by how much they look like those of one."""
+    q, t = sides(spark, d)
+    c = candidates(spark, d).select(F.col("q").alias("s1_id"), F.col("t").alias("cand_id"), "country", "rscore", "bscore", "sim_n")
+    x = X.s1_descriptors(X.pair_features(c, q, t)).join(q.select(F.col("entity_id").alias("s1_id"), "country"), "s1_id").persist()
+    seen = [n for n in x.columns if n not in ("s1_id", "country")]
+    weights, _ = L.adversarial(x.where("country <> 'de'"), x.where("country = 'de'"), seen, "gbt", 2, **SMALL)
+    return weights.select("s1_id", F.round("w", 6).alias("w"))
 
 
 ADDED = f"ad AS (SELECT p.q AS s1_id, p.t AS cand_id, list_filter(list_distinct(y.n_toks), lambda v: NOT list_contains(x.n_toks, v)) AS added, (u.s1_id IS NOT NULL)::INTEGER AS y FROM pool p {BOTH} LEFT JOIN truth u ON u.s1_id = p.q AND u.cand_id = p.t)"

@@ -234,3 +234,65 @@ def test_one_pass_evaluation_equals_one_by_one(spark):
     assert set(got) == set(want)
     for name, selected in want.items():
         assert abs(got[name] - E.macro_f05(true, selected, ids).first().macro_f05) < 1e-12
+
+
+RECORD = "entity_id string, business_name string, business_address string, country string"
+
+
+def test_rescue_adds_what_one_entity_alone_has(spark):
+    records = spark.createDataFrame(
+        [
+            ("S1-1", "Bread House SAS", "12 rue Victor Hugo Lyon", "France"),
+            ("S1-2", "Milk House", "3 place Bellecour Lyon", "France"),
+            ("S1-3", "Milk House", "3 place Bellecour Lyon", "France"),
+            ("S1-4", "Wine House", "9 quai Gambetta Nantes", "France"),
+            ("S2-1", "BREAD HOUSE", "12 Victor Hugo Lyon", "France"),  # one entity, not owned: added
+            ("S2-2", "Milk House", "3 Bellecour Lyon", "France"),  # two entities
+            ("S2-3", "Bread House", "77 Gambetta Nantes", "France"),  # another address
+            ("S2-4", "Bread House", "12 rue Victor Hugo Lyon", "US"),  # another country
+            ("S3-1", "Bread House", "12 rue Victor Hugo Lyon", "France"),  # owned already
+            ("S3-2", "Wine House", "9 quai Gambetta Nantes", "France"),  # its entity has no pairs
+        ],
+        RECORD,
+    )
+    pairs = spark.createDataFrame([("S1-1", "S3-1", 0.95), ("S1-1", "S2-1", 0.01), ("S1-2", "S2-2", 0.02), ("S1-3", "S2-2", 0.02)], PAIR + ", p double")
+    chosen, added = rules.rescue(pairs, records)
+    assert [tuple(r) for r in chosen.collect()] == [("S1-1", "S3-1")]
+    assert [tuple(r) for r in added.collect()] == [("S1-1", "S2-1")]
+
+
+def test_swaps_of_both_kinds(spark):
+    rows = [("S1-1", "Alpha Bread Club", "12 Hugo Road Lyon", "US"), ("S1-2", "Beta Bread", "5 Main Lyon", "US"), ("S1-3", "Gamma Music", "7 Main Lyon", "US"), ("S1-4", "Delta Music", "8 Main Lyon", "US")]
+    rows += [("S2-1", "Alpha Music Club", "12 Hugo Road Lyon", "US"), ("S2-2", "Beta Center", "5 Main Lyon", "US"), ("S2-3", "Gamma Musik", "7 Main Lyon", "US"), ("S2-4", "Beta Center", "6 Main Lyon", "US")]
+    records = spark.createDataFrame(rows, RECORD)
+    pairs = spark.createDataFrame([("S1-1", "S2-1", 0.6), ("S1-2", "S2-2", 0.1), ("S1-3", "S2-3", 0.5), ("S1-2", "S2-4", 0.3)], PAIR + ", p double").withColumn("country", F.lit("US"))
+    kinds = rules.swap_kinds(pairs.drop("p"), records, least=2)
+    assert sorted(tuple(r) for r in kinds.collect()) == [("S1-1", "S2-1", "noun"), ("S1-2", "S2-2", "noise")]
+    got = {(r.s1_id, r.cand_id): r.p for r in rules.apply_swaps(pairs, kinds).collect()}
+    assert got == {("S1-1", "S2-1"): 0.003, ("S1-2", "S2-2"): 0.92, ("S1-3", "S2-3"): 0.5, ("S1-2", "S2-4"): 0.3}
+    only = {(r.s1_id, r.cand_id): r.p for r in rules.apply_swaps(pairs, kinds, ("noise",)).collect()}
+    assert only[("S1-1", "S2-1")] == 0.6 and only[("S1-2", "S2-2")] == 0.92
+
+
+def learnable(spark, n=240):
+    rng = random.Random(3)
+    rows = []
+    for k in range(n):
+        y = rng.random() < 0.5
+        rows.append((f"S1-{k // 4}", f"S2-{k}", int(y), y + rng.gauss(0, 0.4), rng.random()))
+    return spark.createDataFrame(rows, PAIR + ", y int, f1 double, f2 double").persist()
+
+
+def test_training_steps(spark):
+    x, small = learnable(spark), {"maxIter": 3, "maxDepth": 2, "seed": 1}
+    first, _ = L.oof(x, ["f1", "f2"], "gbt", 2, **small)
+    attributes = spark.createDataFrame([(f"S{s}-{k}", str(k % 3), f"n{k % 5}") for s in (1, 2) for k in range(240)], "entity_id string, a_num string, n_core string")
+    second, models = L.stage_two(x, first, ["f1", "f2"], attributes, "gbt", 2, **small)
+    assert second.count() == x.count() and len(models) == 2 and set(L.CLUSTER) <= set(second.columns)
+    assert L.auc_rank(second).first()[0] > 0.85
+    before, after = L.self_training(x, x.drop("y"), ["f1", "f2"], "lr", high=0.8, low=0.2, maxIter=10)
+    assert L.auc_rank(L.label_join(after, x.where("y = 1"))).first()[0] > 0.85 and before.count() == after.count() == x.count()
+    losses = {r.run: r.loss for r in L.ablation(x, ["f1", "f2"], {"signal": ["f1"]}, [0.5], "lr", maxIter=10).collect()}
+    assert set(losses) == {"all", "without signal", "share 0.5"} and losses["without signal"] > losses["all"] + 0.2
+    weights, auc = L.adversarial(x.where("f1 < 0.8"), x.where("f1 > 0.2").withColumn("s1_id", F.concat(F.lit("T"), "s1_id")), ["f1"], "lr", 2, maxIter=10)
+    assert abs(weights.agg(F.avg("w")).first()[0] - 1) < 1e-9 and auc.first()[0] > 0.6
