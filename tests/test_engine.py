@@ -296,3 +296,12 @@ def test_training_steps(spark):
     assert set(losses) == {"all", "without signal", "share 0.5"} and losses["without signal"] > losses["all"] + 0.2
     weights, auc = L.adversarial(x.where("f1 < 0.8"), x.where("f1 > 0.2").withColumn("s1_id", F.concat(F.lit("T"), "s1_id")), ["f1"], "lr", 2, maxIter=10)
     assert abs(weights.agg(F.avg("w")).first()[0] - 1) < 1e-9 and auc.first()[0] > 0.6
+
+
+def test_rerank_score_rounds_like_the_sql_engine(spark):
+    duckdb = pytest.importorskip("duckdb")
+    rows = [(n / 4, a / 5, k / 1000) for n in range(5) for a in range(6) for k in range(1, 1000, 2)]
+    df = spark.createDataFrame(rows, "sim_n double, sim_a double, bscore double").withColumns({"t_native": F.lit(False), "t_aempty": F.lit(False)})
+    got = [r.rscore for r in df.select(B.rerank_score().alias("rscore")).collect()]
+    sql = "SELECT round(x.n + x.a + 0.05 * least(x.b, 10.0), 4) FROM (SELECT unnest(?::STRUCT(n DOUBLE, a DOUBLE, b DOUBLE)[]) AS x)"
+    assert got == [r[0] for r in duckdb.execute(sql, [[dict(zip("nab", r, strict=True)) for r in rows]]).fetchall()]
