@@ -305,3 +305,9 @@ def test_rerank_score_rounds_like_the_sql_engine(spark):
     got = [r.rscore for r in df.select(B.rerank_score().alias("rscore")).collect()]
     sql = "SELECT round(x.n + x.a + 0.05 * least(x.b, 10.0), 4) FROM (SELECT unnest(?::STRUCT(n DOUBLE, a DOUBLE, b DOUBLE)[]) AS x)"
     assert got == [r[0] for r in duckdb.execute(sql, [[dict(zip("nab", r, strict=True)) for r in rows]]).fetchall()]
+
+
+def test_jaro_winkler_is_that_of_the_sql_engine():
+    duckdb = pytest.importorskip("duckdb")
+    for a, b in itertools.product(["", "a", "martha", "marhta", "dwayne", "abcdabcd"], repeat=2):
+        assert abs(S.jaro_winkler(a, b) - duckdb.execute("SELECT jaro_winkler_similarity(?, ?)", [a, b]).fetchone()[0]) < 1e-9, (a, b)
