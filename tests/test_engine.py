@@ -330,3 +330,20 @@ def test_sides_are_normalised_once_and_texts_not_split_whole(spark):
     d = "/root/testdata/sf0.001"
     plans = [x._jdf.queryExecution().optimizedPlan().toString() for x in (Q.candidates(spark, d), Q.records(spark, d).select("business_name"))]
     assert "InMemoryRelation" in plans[0] and ", 14)" in plans[1]
+
+
+def test_trigram_route_over_blocks_equals_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(B, "Q_BLOCK", 3)
+    monkeypatch.setattr(B, "T_BLOCK", 4)
+    rnd = random.Random(4)
+    names = {f"S{1 + k % 3}-{k}": ("".join(rnd.choice("abc") for _ in range(rnd.randint(0, 9))), rnd.choice(["en", "fr", None])) for k in range(60)}
+    rows = spark.createDataFrame([(k, *v) for k, v in names.items()], "entity_id string, n_nospace string, country string")
+    q, t = R.split_sides(rows)
+    grams = {k: {n[i : i + 3] for i in range(len(n) - 2)} for k, (n, _) in names.items()}
+    df = {(c, g): sum(g in grams[k] and names[k][1] == c and k[:2] != "S1" for k in names) for c in ("en", "fr") for v in grams.values() for g in v}
+    want = set()
+    for x in names:
+        c = names[x][1]
+        near = [(-round(sum(1 / np.log2(df[c, g] + 1) for g in both if df[c, g] <= 9), 4), y) for y in names if x[:2] == "S1" != y[:2] and c and names[y][1] == c and (both := grams[x] & grams[y])]
+        want |= {(x, y, -s) for s, y in sorted(n for n in near if n[0])[:2]}
+    assert want and {(r.q, r.t, r.score) for r in B.trigram_route(q, t, 9, 2).collect()} == want
