@@ -347,3 +347,14 @@ def test_trigram_route_over_blocks_equals_brute_force(spark, monkeypatch):
         near = [(-round(sum(1 / np.log2(df[c, g] + 1) for g in both if df[c, g] <= 9), 4), y) for y in names if x[:2] == "S1" != y[:2] and c and names[y][1] == c and (both := grams[x] & grams[y])]
         want |= {(x, y, -s) for s, y in sorted(n for n in near if n[0])[:2]}
     assert want and {(r.q, r.t, r.score) for r in B.trigram_route(q, t, 9, 2).collect()} == want
+
+
+def test_relative_gap_of_long_numbers_rounds_like_the_sql_engine(spark, monkeypatch):
+    duckdb = pytest.importorskip("duckdb")
+    nums = [("76", "4084813917494277"), ("59", "4440927036883001"), ("78", "4870111250876269"), ("3", "4084813917494277"), ("8", "9"), ("640000", "640003"), ("12", "5"), ("7", ""), ("1", "9007199254740993")]
+    rows = [(f"S1-{k}", f"S2-{k}", *n) for k, n in enumerate(nums)]
+    monkeypatch.setattr(Q, "text_pairs", lambda spark, d: spark.createDataFrame(rows, "s1_id string, cand_id string, q_a_num string, t_a_num string"))
+    got = {r.s1_id: r.num_reldiff for r in Q.number_relation(spark, "").collect()}
+    for s1_id, _, q, t in rows:
+        sql = "SELECT round(abs(?::BIGINT - ?::BIGINT) / ?::BIGINT::DOUBLE, 6)"
+        assert got[s1_id] == (duckdb.execute(sql, [q, t, q]).fetchone()[0] if q and t else None), (q, t)
