@@ -358,3 +358,18 @@ def test_relative_gap_of_long_numbers_rounds_like_the_sql_engine(spark, monkeypa
     for s1_id, _, q, t in rows:
         sql = "SELECT round(abs(?::BIGINT - ?::BIGINT) / ?::BIGINT::DOUBLE, 6)"
         assert got[s1_id] == (duckdb.execute(sql, [q, t, q]).fetchone()[0] if q and t else None), (q, t)
+
+
+def test_sibling_route_shuffles_no_pairs(spark, monkeypatch):
+    monkeypatch.setattr(B, "NAME_BLOCK", 4, raising=False)
+    names = {f"S2-{k}": ("en" if k % 5 else "de", "abc"[k % 3] if k < 40 else "" if k < 44 else f"one{k}") for k in range(48)}
+    t = spark.createDataFrame([(e, c, n) for e, (c, n) in names.items()], "entity_id string, country string, n_nospace string")
+    cands = [(names[x][0], f"S1-{q}", x) for q in range(6) for x in (f"S2-{5 * q}", f"S2-{q + 1}", f"S2-{q + 4}", f"S2-{q + 40}")]
+    got = B.sibling_route(spark.createDataFrame(cands, "country string, q string, t string"), t)
+    known = {(q, x) for _, q, x in cands}
+    want = {(c, q, y) for c, q, x in cands for y, (land, n) in names.items() if n and (land, n) == names[x] and (q, y) not in known}
+    rows = [(r.country, r.q, r.t) for r in got.collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == want
+    plan = got._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    made = next(i for i, x in enumerate(plan) if "Generate explode" in x or "LeftAnti" in x or "Aggregate" in x)
+    assert "Generate explode" in plan[made]
