@@ -15,6 +15,7 @@ from linkmill.operators import learning as L
 from linkmill.operators import records as R
 from linkmill.operators import rules
 from linkmill.plans import record_queries as Q
+from linkmill.plans.fixtures import SQL
 from linkmill.sources import files
 
 PAIR = "s1_id string, cand_id string"
@@ -373,3 +374,18 @@ def test_sibling_route_shuffles_no_pairs(spark, monkeypatch):
     plan = got._jdf.queryExecution().optimizedPlan().toString().splitlines()
     made = next(i for i, x in enumerate(plan) if "Generate explode" in x or "LeftAnti" in x or "Aggregate" in x)
     assert "Generate explode" in plan[made]
+
+
+def test_compound_features_return_what_number_tokens_and_units_say(spark, tmp_path):
+    name, streets = "alpha beta gamma delta epsilon zeta", ["flat 7 on 5/101 lake road", "flat 7 on 5/101 lake road", "flat 8 on 5-102 lake road", "door 7 x 9 lake road"]
+    rows = [(k, f"{name} {x}", "en") for k, x in zip((0, 1, 2, 97 + 1), streets, strict=True)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = Q.compound_features(spark, str(tmp_path))
+    got = {r.cand_id: tuple(r)[2:] for r in out.where("s1_id = 'S1-0'").collect()}
+    # Number tokens: S1-0 1 5/101 7; S2-1 2 5/101 7; S3-2 3 5-102 8; S3-98 2 7 9.
+    assert got == {"S2-1": (0.5, 1, 1, 1, 0, 1, 0, 0, 0), "S3-2": (0.0, 3, 3, 0, 1, 0, 1, 0, 0), "S3-98": (0.2, 2, 2, 0, 0, 1, 0, 0, 0)}
+    duckdb = pytest.importorskip("duckdb")
+    with duckdb.connect() as c:
+        c.sql(f"CREATE VIEW documents AS FROM '{tmp_path}/documents.parquet/*.parquet'")
+        want = c.sql(SQL["compound_features"])
+        assert want.columns == out.columns and sorted(want.fetchall()) == sorted(map(tuple, out.collect()))
